@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, secrets, simhash, toxicity
+from . import bpe, exact_dedup, packing, quality, secrets, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_quality": quality.op3_quality,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_packing": packing.op5_packing,
     "op6_secrets": secrets.op6_secrets,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_simhash": simhash.op8_simhash,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE, "op3_quality": quality.ORACLE}
