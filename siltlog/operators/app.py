@@ -27,7 +27,7 @@ def orders_by_user(indexed: DataFrame, user: str, now: int) -> DataFrame:
 def place_orders(stock: DataFrame, orders: DataFrame) -> DataFrame:
     """(sku, stock) and (seq, sku, count): orders in sequence per product; accepted while the stock lasts.
 
-    One stream per product: its stock first, then its orders. A product that isn't known rejects all.
+    One stream per product: its stock first, then its orders. A product that is not known rejects all and has no stock.
     """
     first = stock.select("sku", F.lit(-1).cast("long").alias("seq"), F.col("stock").cast("long").alias("count"), F.lit(True).alias("is_stock"))
     rest = orders.select("sku", F.col("seq").cast("long").alias("seq"), F.col("count").cast("long").alias("count"), F.lit(False).alias("is_stock"))
@@ -38,6 +38,6 @@ def place_orders(stock: DataFrame, orders: DataFrame) -> DataFrame:
         accepted = s["left"] is not None and s["left"] >= row["count"]
         if accepted:
             s["left"] -= row["count"]
-        return s, [{"sku": row["sku"], "seq": row["seq"], "count": row["count"], "accepted": accepted, "stock_after": s["left"]}]
+        return s, [{"sku": row["sku"], "seq": row["seq"], "count": row["count"], "accepted": accepted, "stock_after": s["left"] or 0}]
 
     return ordered_fold(first.unionByName(rest), ["sku"], ["seq"], lambda: {"left": None}, step, "sku string, seq bigint, count bigint, accepted boolean, stock_after bigint")

@@ -27,7 +27,7 @@ class SyncPolicy:
 
 def effective(configs: DataFrame) -> DataFrame:
     """(mode, sync_enable) with the policy in force."""
-    return configs.withColumn("policy", F.when(F.col("mode") != "default", F.col("mode")).when("sync_enable", "every-commit").otherwise("none"))
+    return configs.withColumn("policy", F.when(F.col("mode") != "default", F.col("mode")).when(F.col("sync_enable"), "every-commit").otherwise("none"))
 
 
 def engine_decision(p: SyncPolicy, dirty_bytes: Column, dirty_commits: Column, since: Column, latency: Column) -> Column:
