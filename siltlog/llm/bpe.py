@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 from .base import table
 from .tokens import ranks, vocabulary
 
-#: Pieces and runs of pieces whose encodings a process keeps, and the longest kept.
+#: Pieces, and runs of pieces between spaces, whose encodings a process keeps, and the longest kept.
 CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
 #: Valid and invalid pairs that a process keeps.
 PAIR_ENTRIES = 2_000_000
+#: Prefixes whose last tokens a process keeps, and the longest piece whose prefixes are kept.
+PREFIX_ENTRIES, STORED_BYTES = 500_000, 64
 
 
 class PrefixBpe:
@@ -41,6 +44,7 @@ class PrefixBpe:
         self.longest = max(map(len, rank))
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
+        self.prefixes: dict[bytes, int] = {}
 
     def half(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte and a token no merge makes."""
@@ -113,13 +117,49 @@ class PrefixBpe:
         return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
-        """The ids of one piece; a piece that is a token is that token, as rank encoders have it."""
+        """The ids of one piece; a piece that is a token is that token, as rank encoders have it.
+
+        The last token of a prefix depends on the prefix alone, so a piece starts from its longest prefix met before.
+        """
         whole = self.rank.get(piece)
         if whole is not None:
             return [whole]
-        last: list[int] = []
-        self.extend(piece, last)
-        return self.walk(last)
+        if len(piece) > STORED_BYTES:
+            last: list[int] = []
+            self.extend(piece, last)
+            return self.walk(last)
+        prefixes, get, known = self.prefixes, self.rank.get, self.pairs.get
+        n = len(piece)
+        end = n
+        while end and piece[:end] not in prefixes:
+            end -= 1
+        if n - end + len(prefixes) > PREFIX_ENTRIES:
+            prefixes.clear()
+            end = 0
+        while end < n:
+            end += 1
+            for start in range(max(0, end - self.longest), end):
+                token = get(piece[start:end])
+                if token is None:
+                    continue
+                if start:
+                    before = prefixes[piece[:start]]
+                    ok = known(before << 32 | token)
+                    if ok is None:
+                        ok = self.made(token) and self.pair(before, token)
+                else:
+                    ok = self.made(token)
+                if ok:
+                    prefixes[piece[:end]] = token
+                    break
+            else:
+                raise ValueError("a byte is missing from the vocabulary")
+        out = []
+        while n:
+            token = prefixes[piece[:n]]
+            out.append(token)
+            n -= len(self.bytes[token])
+        return out[::-1]
 
 
 class PrefixTable:
@@ -163,32 +203,37 @@ class TextEncoder:
         self.bpe, self.find = _bpe(path), regex.compile(pattern).findall
         # before a space that a non-space follows, one match always ends: runs in between can be encoded apart
         self.cut = regex.compile(r"(?= \S)").split
+        self.spaced = re.compile(r" (?:\s|\Z)").search
+        self.packed = [k.to_bytes(4, "little") for k in range(len(self.bpe.bytes))]
         self.runs: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            got = np.array(self.bpe.encode(piece.encode()), "<u4").tobytes()
+            got = b"".join([self.packed[k] for k in self.bpe.encode(piece.encode())])
             if len(piece) <= CACHE_CHARS and len(self.pieces) < CACHE_ENTRIES:
                 self.pieces[piece] = got
         return got
 
+    def first(self, run: str) -> bytes:
+        return b"".join(map(self.piece, self.find(run)))
+
     def run(self, run: str) -> bytes:
-        got = b"".join(map(self.piece, self.find(run)))
-        if len(run) <= CACHE_CHARS and len(self.runs) < CACHE_ENTRIES:
+        """A run after a space, given without it."""
+        got = self.first(" " + run)
+        if len(run) < CACHE_CHARS and len(self.runs) < CACHE_ENTRIES:
             self.runs[run] = got
         return got
 
     def encode(self, text: str) -> bytes:
-        get, run = self.runs.get, self.run
-        plain = not any(c.isspace() and c not in " \n" for c in set(text)) and "  " not in text and " \n" not in text and not text.endswith(" ")
-        if plain:
-            parts = text.split(" ")
-            parts[1:] = [" " + p for p in parts[1:]]
+        if self.spaced(text):
+            first, *parts = self.cut(text)
+            parts = [p[1:] for p in parts]
         else:
-            parts = self.cut(text)
-        return b"".join([get(p) or run(p) for p in parts])
+            first, *parts = text.split(" ")
+        get, run = self.runs.get, self.run
+        return self.first(first) + b"".join([get(p) or run(p) for p in parts])
 
 
 @functools.lru_cache(4)
