@@ -116,7 +116,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated = written(index.where("n > 1"), "repeated")
     probe = passes(filter_bits(repeated, filter_words))
     hits = texts.where(probe("digest"))
-    keepers = _keepers(repeated, hits)
+    # written, so that the join has plain shuffles on both sides and a digest with many hits can be split
+    keepers = written(_keepers(repeated, hits), "keepers")
     joined = hits.join(keepers, "digest", "left").select(
         "id", "digest", "keep_id", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce(F.col("text") == F.col("keep_text"), F.lit(True)).alias("same"), F.col("n").isNull().alias("alone")
     )
