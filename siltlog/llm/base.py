@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The separators of the word pattern [^\x20\x09-\x0D]+ (bytes.split() without arguments uses the same six).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,3 +41,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """Of rows that repeat both doc_id and text (null counting as empty) one; all columns stay."""
+    name = "_text"
+    while name in docs.columns:
+        name += "_"
+    return docs.withColumn(name, F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", name]).drop(name)

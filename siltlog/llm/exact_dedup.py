@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .base import table, written
+from .base import one_row_each, table, written
 
 #: Entries that a memtable holds before it is flushed as a run.
 MEMTABLE_ROWS = 200_000
@@ -167,10 +167,11 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays, the one with the largest doc_id."""
-    groups = written(exact_groups(docs, keep="largest").select("id", "keep_id", "kept"), "exact-stage")
-    gone = groups.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select(F.col("id").alias("doc_id"))
-    out = docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
-    if groups.where(F.col("id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).isEmpty():
-        return out
-    return out.dropDuplicates(["doc_id", "text"])
+    """One document of each group of equal texts stays, the one with the largest doc_id; a group without doc_ids keeps
+    one as well. Of rows that repeat both doc_id and text one stays."""
+    groups = written(exact_groups(docs, keep="largest").select("id", "digest", "keep_id", "kept"), "exact-stage")
+    stays = F.col("id").eqNullSafe(F.col("keep_id"))
+    gone = groups.where(~stays).select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
+    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (sha256(F.coalesce(docs["text"], F.lit(""))) == gone["gone_digest"])
+    out = docs.join(gone, same, "left_anti")
+    return out if groups.where(stays & ~F.col("kept")).isEmpty() else one_row_each(out)

@@ -7,6 +7,7 @@ rows of one key the Hamming distances are verified, and only links that join par
 returned: as many as rows at most, never all pairs, and the components are the same. A key with more than
 `bucket_rows` fingerprints is cut again by the pigeonhole principle over its remaining bits, until its
 parts are small; distinct fingerprints with b free bits are at most 2**b, so this ends. No candidate is dropped.
+A dense group needs about one comparison per row, as the search drops the rows that it has reached.
 """
 
 from __future__ import annotations
@@ -17,16 +18,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table, written
+from .base import one_row_each, table, written
 from .components import components
 
 #: Bits of a fingerprint, and into how many blocks it is cut for the first keys.
 BITS, BLOCKS = 64, 6
-#: Fingerprints of one key that a task compares; more are cut into smaller keys.
-BUCKET_ROWS = 20_000
+#: Fingerprints of one key that a task compares (8 bytes each); more are cut into smaller keys.
+BUCKET_ROWS = 100_000
 SEED = 42
 _SET = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -49,14 +50,20 @@ def fingerprint(text: str | None, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """(id, fp): one row per document, fp as a signed long."""
+    """(id, fp, text_hash): one row per document, fp as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64), pa.int64())], names=["id", "fp"])
+            got = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64), pa.int64()), batch.column(1)], names=["id", "fp", "text_hash"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col))
+    return rows.mapInArrow(run, "id long, fp long, text_hash long")
+
+
+def text_hash(text: Column) -> Column:
+    """Tells apart rows that share an identifier."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def blocks_of(bits: list[int], n: int) -> list[list[int]]:
@@ -95,46 +102,30 @@ def close_links(fps: DataFrame, distance: int, blocks: int = BLOCKS, bucket_rows
     """Distinct fingerprints (fp) to links (a, b) whose components are those of all pairs within distance."""
     if blocks <= distance:
         raise ValueError("more blocks than differing bits are needed")
+    if bucket_rows < 1 << distance:
+        raise ValueError("a bucket must hold the fingerprints that differ in `distance` given bits")
 
     def links(key: tuple, batch: pa.Table) -> pa.Table:
         a, b = spanning_links(batch.column("fp").to_numpy(), distance)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    spark = fps.sparkSession
     cut = blocks_of(list(range(BITS)), blocks)
-    fixed = [sorted(sum(chosen, [])) for chosen in combinations(cut, blocks - distance)]
-    keyed, out = _keys(fps.select("fp"), [_signed(0, x) for x in fixed]), []
+    masks = [_signed(0, sum(chosen, [])) for chosen in combinations(cut, blocks - distance)]
+    keyed, out = _keys(fps.select("fp"), masks), None
     while True:
-        sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-        sizes = written(sizes, "bucket-sizes")
+        sizes = written(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
         small = keyed.join(sizes.where(F.col("n") <= bucket_rows).select("mask", "key"), ["mask", "key"], "left_semi")
-        out.append(small.groupBy("mask", "key").applyInArrow(links, "a long, b long"))
-        hot = sizes.where(F.col("n") > bucket_rows)
-        masks = [r.mask for r in hot.select("mask").distinct().collect()]
+        found = small.groupBy("mask", "key").applyInArrow(links, "a long, b long")
+        hot = sizes.where(F.col("n") > bucket_rows).select("mask", "key")
+        masks = [r.mask for r in hot.select("mask").distinct().collect()]  # as many as the blocks make, whatever the rows
         if not masks:
-            break
-        parts = []
-        for mask in masks:  # a few masks, fixed by the blocks and not by the rows
-            free = [b for b in range(BITS) if not (mask >> b) & 1]
-            rows = keyed.where(F.col("mask") == mask).join(hot, ["mask", "key"], "left_semi").select("fp")
-            if len(free) <= distance:
-                # all rows here are close to each other: a star holds them together
-                key = F.lit(mask).cast("long").bitwiseAND(F.col("fp"))
-                star = rows.withColumn("key", key)
-                least = star.groupBy("key").agg(F.min("fp").alias("b"))
-                out.append(star.join(least, "key").select(F.col("fp").alias("a"), "b").where("a <> b"))
-                continue
-            n = min(distance + 1, len(free))
-            parts.append(_keys(rows, [_signed(mask, x) for x in blocks_of(free, n)]))
-        if not parts:
-            break
-        keyed = parts[0]
-        for p in parts[1:]:
-            keyed = keyed.unionByName(p)
-        keyed = written(keyed.dropDuplicates(["fp", "mask"]), "hot-keys")
-    links_all = out[0]
-    for x in out[1:]:
-        links_all = links_all.unionByName(x)
-    return links_all
+            return found if out is None else out.unionByName(found)
+        found = written(found, "hot-links")
+        out = found if out is None else out.unionByName(found)
+        finer = [(m, _signed(m, x)) for m in masks for x in blocks_of([b for b in range(BITS) if not (m >> b) & 1], distance + 1)]
+        rows = keyed.join(hot, ["mask", "key"], "left_semi").join(F.broadcast(spark.createDataFrame(finer, "mask long, finer long")), "mask")
+        keyed = written(rows.select("fp", F.col("finer").alias("mask")).distinct().withColumn("key", F.expr("fp & mask")), "hot-keys")
 
 
 def _signed(mask: int, bits: list[int]) -> int:
@@ -143,7 +134,8 @@ def _signed(mask: int, bits: list[int]) -> int:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 4, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row per input row: id, fp (signed long), component_id (smallest identifier reachable).
+    """One row per input row: id, fp (signed long), text_hash, root (a fingerprint of the component), component_id
+    (smallest identifier reachable).
 
     Words are separated by the six ASCII white-space characters, A-Z is lower-cased, whole texts count. Null
     and empty texts have fingerprint 0 and link like any other; a text with fewer words than a shingle is one
@@ -155,8 +147,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = components(close_links(distinct, distance, blocks, bucket_rows))
     named = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(least, "root").select("fp", "component_id")
-    return rows.join(of, "fp", "left").select("id", "fp", "component_id")
+    # written, so that the last join has plain shuffles on both sides and a fingerprint of many rows can be split
+    of = written(named.join(least, "root").select("fp", "root", "component_id"), "roots")
+    return rows.join(of, "fp", "left").select("id", "fp", "text_hash", "root", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +158,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
-    groups = near_groups(docs, words=4, distance=4)
-    gone = groups.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies stays, the one with the smallest doc_id (then text_hash); a group
+    without doc_ids keeps one as well. Of rows that repeat both doc_id and text one stays."""
+    groups = written(near_groups(docs, words=4, distance=4).withColumn("rank", F.struct(F.col("id").isNull(), "id", "text_hash")), "near-groups")
+    stays = written(groups.groupBy("root").agg(F.min("rank").alias("first"), F.count("*").alias("n")), "near-stays")
+    ranked = groups.join(stays.where("n > 1"), "root")
+    gone = ranked.where(~F.col("rank").eqNullSafe(F.col("first"))).select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (text_hash(docs["text"]) == gone["gone_hash"])
+    out = docs.join(gone, same, "left_anti")
+    if ranked.where(F.col("rank").eqNullSafe(F.col("first"))).groupBy("root").count().where("count > 1").isEmpty():
+        return out
+    return one_row_each(out)
