@@ -63,12 +63,14 @@ def survivors(log: DataFrame, sources: DataFrame, now: int = NOW) -> DataFrame:
     Committed entries that are the last of their key survive unless deleted or expired. Those two are kept as well
     while an older committed entry of the key lies outside the sources: dropping them would bring that one back.
     """
-    entries = committed_log(log).join(sources.select("file_id").withColumn("_merged", F.lit(True)), "file_id", "left")
-    last = Window.partitionBy(*BY_KEY).orderBy(*[F.desc(c) for c in ORDER])
-    whole = Window.partitionBy(*BY_KEY)
-    ranked = entries.withColumn("_rank", F.row_number().over(last)).withColumn("_outside", F.count_if(F.col("_merged").isNull()).over(whole) > 0)
+    files = sources.select("file_id").distinct().withColumn("_merged", F.lit(True))
+    entries = committed_log(log).join(files, "file_id", "left")
+    # one row per key and task: the last entry, and whether any lies outside
+    row = F.max_by(F.struct(*log.columns, "_merged"), F.struct(*ORDER)).alias("last")
+    by_key = entries.groupBy(*[F.col(k).alias(f"_{k}") for k in BY_KEY]).agg(row, (F.count_if(F.col("_merged").isNull()) > 0).alias("_outside"))
+    last = by_key.where("last._merged").select("last.*", "_outside")
     dead = (F.col("flag") == DELETE) | is_expired(now)
-    return ranked.where((F.col("_rank") == 1) & F.col("_merged")).where(~dead | F.col("_outside")).select(log.columns)
+    return last.where(~dead | F.col("_outside")).select(log.columns)
 
 
 def merge_bytes(log: DataFrame, sources: DataFrame, now: int = NOW) -> DataFrame:

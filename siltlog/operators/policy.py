@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siltlog.functions.expr import ratio
 from siltlog.functions.fold import ordered_fold
@@ -47,9 +46,11 @@ def op_counters(ops: DataFrame, large: int = 16 * 1024) -> DataFrame:
 
 
 def mark_overwrites(ops: DataFrame) -> DataFrame:
-    """overwrite: a put whose key a put of an earlier transaction has written."""
-    first = F.min(F.when(F.col("kind") == "put", F.col("tx"))).over(Window.partitionBy("bucket", "key"))
-    return ops.withColumn("overwrite", (F.col("kind") == "put") & (first < F.col("tx")))
+    """overwrite: a put whose key a put of an earlier transaction has written. First writes are aggregated in the tasks
+    and joined, so that a key with a large share of the operations can be split."""
+    first = ops.where("kind = 'put'").groupBy("bucket", "key").agg(F.min("tx").alias("_first"))
+    marked = ops.join(first, ["bucket", "key"], "left").withColumn("overwrite", (F.col("kind") == "put") & (F.col("_first") < F.col("tx")))
+    return marked.drop("_first")
 
 
 def op_windows(ops: DataFrame, size: int = 100, large: int = 16 * 1024) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siltlog.functions.expr import has_prefix, is_visible, trim_prefix
 from siltlog.sources.log import NOW
@@ -34,27 +33,36 @@ def range_status(indexed: DataFrame, ranges: DataFrame, now: int = NOW) -> DataF
     return ranges.join(hits, "request").select("request", "raw", "visible", status.alias("status"))
 
 
+def _after(rows: DataFrame, offset: int) -> DataFrame:
+    """Rows without the first `offset` by key. Each task passes on at most that many keys, of which the last is the
+    border; nothing is ranked in a single task."""
+    if offset <= 0:
+        return rows
+    border = rows.select("key").orderBy("key").limit(offset).agg(F.max("key").alias("_border"))
+    return rows.join(F.broadcast(border), F.col("_border").isNull() | (F.col("key") > F.col("_border"))).drop("_border")  # one row
+
+
+def _first(rows: DataFrame, limit: int) -> DataFrame:
+    return rows.orderBy("key").limit(limit) if limit > 0 else rows
+
+
 def prefix_page(indexed: DataFrame, bucket: str, prefix: str, offset: int = 0, limit: int = 0, now: int = NOW) -> DataFrame:
     """Offset and limit count index rows, hidden ones too; visibility is tested on the page. limit 0: no limit."""
     rows = indexed.where((F.col("bucket") == bucket) & has_prefix("key", prefix))
-    ranked = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("bucket").orderBy("key")))
-    page = ranked.where(F.col("_nth") > offset) if limit <= 0 else ranked.where((F.col("_nth") > offset) & (F.col("_nth") <= offset + limit))
-    return page.where(is_visible(now)).select("key", "value").orderBy("key")
+    return _first(_after(rows, offset), limit).where(is_visible(now)).select("key", "value").orderBy("key")
 
 
 def prefix_visible_page(indexed: DataFrame, bucket: str, prefix: str, offset: int = 0, limit: int = 0, now: int = NOW) -> DataFrame:
     """Offset and limit count visible keys."""
-    rows = indexed.where((F.col("bucket") == bucket) & has_prefix("key", prefix)).where(is_visible(now)).select("key", "value").orderBy("key").offset(offset)
-    return rows.limit(limit) if limit > 0 else rows
+    rows = indexed.where((F.col("bucket") == bucket) & has_prefix("key", prefix)).where(is_visible(now)).select("key", "value")
+    return _first(_after(rows, offset), limit).orderBy("key")
 
 
 def prefix_regex_page(indexed: DataFrame, bucket: str, prefix: str, pattern: str, offset: int = 0, limit: int = 0, now: int = NOW) -> DataFrame:
     """Offset counts keys with the prefix, before the pattern; limit counts keys whose rest the pattern finds."""
     rows = indexed.where((F.col("bucket") == bucket) & has_prefix("key", prefix))
-    ranked = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("bucket").orderBy("key"))).where(F.col("_nth") > offset)
-    found = ranked.where(trim_prefix("key", prefix).rlike(pattern)).withColumn("_hit", F.row_number().over(Window.partitionBy("bucket").orderBy("key")))
-    page = found.where(F.col("_hit") <= limit) if limit > 0 else found
-    return page.where(is_visible(now)).select("key", "value").orderBy("key")
+    found = _after(rows, offset).where(trim_prefix("key", prefix).rlike(pattern))
+    return _first(found, limit).where(is_visible(now)).select("key", "value").orderBy("key")
 
 
 def prefix_skipped(indexed: DataFrame, bucket: str, prefix: str, offset: int) -> DataFrame:

@@ -65,10 +65,10 @@ def expired(indexed: DataFrame, now: int = NOW) -> DataFrame:
 
 
 def key_counts(log: DataFrame, now: int = NOW) -> DataFrame:
-    """Per bucket: replayed records, keys in the index, visible keys. One pass over the ranked log."""
-    last = Window.partitionBy(*BY_KEY).orderBy(*[F.desc(c) for c in ORDER])
-    ranked = committed_log(log).select("bucket", "key", "flag", "ttl", "ts", *ORDER).withColumn("first", F.row_number().over(last) == 1)
-    return ranked.groupBy("bucket").agg(F.count("*").alias("records"), F.count_if("first").alias("index_keys"), F.count_if(F.col("first") & is_visible(now)).alias("live_keys"))
+    """Per bucket: replayed records, keys in the index, visible keys. Tasks pass on one row per key, hot or not."""
+    last = F.max_by(F.struct("flag", "ttl", "ts"), F.struct(*ORDER)).alias("last")
+    by_key = committed_log(log).groupBy(*BY_KEY).agg(F.count("*").alias("records"), last)
+    return by_key.groupBy("bucket").agg(F.sum("records").alias("records"), F.count("*").alias("index_keys"), F.count_if(is_visible(now, "last.flag", "last.ttl", "last.ts")).alias("live_keys"))
 
 
 def key_range(indexed: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siltlog.functions.expr import entry_size, garbage_ratio, is_visible, ratio
 from siltlog.operators.snapshot import BY_KEY, ORDER, committed_log, index_plain
@@ -47,9 +46,11 @@ def observation(segs: DataFrame, segment_size: int, written: int, merged: int) -
 
 
 def superseded(log: DataFrame) -> DataFrame:
-    """Committed entries that a later committed entry of their key replaces."""
-    later = Window.partitionBy(*BY_KEY).orderBy(*[F.desc(c) for c in ORDER])
-    return committed_log(log).select(*ORDER, *BY_KEY).withColumn("_nth", F.row_number().over(later)).where("_nth > 1").drop("_nth")
+    """Committed entries that a later committed entry of their key replaces. The last entries are aggregated in the
+    tasks and joined, so that a key with a large share of the log can be split."""
+    entries = committed_log(log).select(*ORDER, *BY_KEY)
+    last = entries.groupBy(*BY_KEY).agg(F.max(F.struct(*ORDER)).alias("_last"))
+    return entries.join(last, BY_KEY).where(F.struct(*ORDER) < F.col("_last")).select(*ORDER, *BY_KEY)
 
 
 def active_offset(log: DataFrame) -> DataFrame:
