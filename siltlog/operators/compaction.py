@@ -179,3 +179,19 @@ def last_events(events: DataFrame, keys: list[str], order: str, size: int) -> Da
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
     left = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
     return events.withColumns({"sequence": number.cast("long"), "_left": left}).where(F.col("_left") <= size).drop("_left")
+
+
+#: Phases of the detector that the controller tells apart; any other counts as unknown to it.
+CONTROLLED_PHASES = ["write-heavy", "read-heavy", "overwrite-heavy", "mixed"]
+
+
+def recommend(observed: DataFrame, latency: DataFrame, phase: DataFrame, target: int, config: ControllerConfig = ControllerConfig()) -> DataFrame:
+    """What the controller says of one observation of the log, the commit latency's p99 and the newest phase: one row.
+
+    available is false for an empty log, whose recommendation has no budget.
+    """
+    passed = F.when(F.col("phase").isin(CONTROLLED_PHASES), F.col("phase")).otherwise("unknown").alias("phase")
+    obs = observed.join(latency.select("p99")).join(phase.select(passed))  # one row each
+    obs = obs.withColumns({"target": F.lit(target).cast("long"), "garbage": F.col("obsolete_bytes"), "data": F.col("logical_bytes"), "available": F.col("logical_bytes") > 0})
+    out = evaluate(obs, config)
+    return out.select("available", F.when(F.col("available"), F.col("budget")).otherwise(0).alias("budget"), "picker", "reason", "confidence", "phase", "p99")

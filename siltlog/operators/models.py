@@ -160,3 +160,13 @@ def replicated_append(batches: DataFrame, keys: list[str], order: list[str]) ->
     columns = [*keys, "batch", *order, "index", "term"]
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in columns), "effect string", "last_index bigint"])
     return ordered_fold(batches.select(*columns), keys, ["batch", *order], lambda: {"terms": [], "batch": None, "failed": False}, step, schema)
+
+
+def last_index(appended: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The last index of each replicated log after all batches."""
+    return appended.groupBy(*keys).agg(F.max_by("last_index", order).alias("last_index"))
+
+
+def fixed_value(size):
+    """Bytes 0, 1, ... 250, 0, ... of the given length, as hex."""
+    return F.when(size > 0, F.array_join(F.transform(F.sequence(F.lit(0), (size - 1).cast("int")), lambda k: F.lpad(F.lower(F.hex(k % 251)), 2, "0")), "")).otherwise("")

@@ -158,3 +158,26 @@ def manifest_recovery(manifests: DataFrame) -> DataFrame:
         .otherwise("error")
     )
     return manifests.withColumn("action", action)
+
+
+#: The name of a value log's first segment, and the pattern of the others, which have a number of 20 digits.
+FIRST_SEGMENT, NUMBERED_SEGMENT = "values.vlog", r"^values-(\d{20})\.vlog$"
+
+
+def segment_ids(names: DataFrame, name: str = "name") -> DataFrame:
+    """File names to (name, segment); other files are left out."""
+    number = F.regexp_extract(name, NUMBERED_SEGMENT, 1)
+    segment = F.when(F.col(name) == FIRST_SEGMENT, F.lit(0).cast("long")).when(number != "", number.cast("long"))
+    return names.select(name, segment.alias("segment")).where("segment IS NOT NULL")
+
+
+def read_values(blobs: DataFrame, pointers: DataFrame, on: list[str]) -> DataFrame:
+    """Pointers (on, offset, size, crc) into segments kept as one blob each (on, blob): value and status.
+
+    Out of bounds, or a checksum that differs, gives a null value and says so.
+    """
+    joined = pointers.join(blobs, on, "left")
+    inside = (F.col("offset") >= 0) & (F.col("offset") + F.col("size") <= F.octet_length("blob"))
+    value = F.substring(F.col("blob"), (F.col("offset") + 1).cast("int"), F.col("size").cast("int"))
+    status = F.when(F.col("blob").isNull(), "no segment").when(~inside, "out of bounds").when(F.crc32(value) != F.col("crc"), "checksum differs").otherwise("ok")
+    return joined.withColumn("status", status).withColumn("value", F.when(F.col("status") == "ok", value)).drop("blob")

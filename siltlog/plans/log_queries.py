@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltlog.operators import compaction, scan, snapshot, stats
+from siltlog.operators import compaction, durability, scan, snapshot, stats
 from siltlog.plans.registry import query
 from siltlog.plans.sqltext import over_log, over_segments
 from siltlog.sources.log import load_log, read_table, with_bucket_deletes
@@ -307,3 +307,29 @@ def analyze_workload(spark, sf_dir):
     kind = F.when(F.col("event_type").isin("click", "view"), "get").otherwise("put")
     ops = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), kind.alias("kind"), F.col("user_id").alias("key"), F.floor(F.col("value") * 100).alias("bytes"))
     return compaction.analyze_workload(ops, 500_000, 20_000_000)
+
+
+@query("point_read", over_log("SELECT file_id, pos, bucket, key, value, flag, status FROM log WHERE file_id = 0 AND pos = 7"))
+def point_read(spark, sf_dir):
+    """One entry by its place; the range of event_ids reaches the scan."""
+    return load_log(spark, sf_dir).where("file_id = 0 AND pos = 7").select("file_id", "pos", "bucket", "key", "value", "flag", "status")
+
+
+@query(
+    "compaction_recommendation",
+    over_segments(
+        """SELECT true AS available, CAST(CASE rule WHEN 0 THEN 33554432 WHEN 1 THEN 0 WHEN 2 THEN 0 WHEN 3 THEN 8388608 ELSE 16777216 * CASE WHEN heap >= 0.5 THEN 2 ELSE 1 END END AS BIGINT) AS budget,
+        CASE WHEN rule = 0 THEN 'garbage-ratio' ELSE 'hot-cold' END AS picker,
+        ['emergency space amplification', 'foreground p99 exceeds target', 'garbage below minimum work threshold', 'high write amplification limits rewrite budget', 'garbage pressure within latency budget'][rule + 1] AS reason,
+        CAST(greatest(0.0, least(1.0, CASE rule WHEN 0 THEN space_amp / 2.0 / 2 WHEN 1 THEN CAST(p99 AS DOUBLE) / 100000000.0 / 2 WHEN 2 THEN 1 - heap WHEN 3 THEN 1.25 / 3.0 / 2 ELSE heap + 0.25 END)) AS DOUBLE) AS confidence, 'read-heavy' AS phase, p99
+        FROM (SELECT *, CASE WHEN space_amp >= 2.0 THEN 0 WHEN p99 > 100000000 THEN 1 WHEN garbage < 1000 THEN 2 ELSE 4 END AS rule FROM
+          (SELECT CAST(sum(size) - sum(live_bytes) AS DOUBLE) / CAST(sum(size) AS DOUBLE) AS heap, sum(size) - sum(live_bytes) AS garbage, CASE WHEN sum(live_bytes) > 0 THEN CAST(count(*) * 4096 AS DOUBLE) / CAST(sum(live_bytes) AS DOUBLE) ELSE 0.0 END AS space_amp FROM seg),
+          (SELECT CAST(max(bound) FILTER (rn = (total * 99 + 99) // 100) AS BIGINT) AS p99 FROM (SELECT *, row_number() OVER (ORDER BY latency) AS rn, count(*) OVER () AS total FROM
+            (SELECT CAST(floor(value * 100000) AS BIGINT) AS latency, coalesce(list_min(list_filter([10000, 25000, 50000, 100000, 250000, 500000, 1000000, 2000000, 5000000, 10000000, 25000000, 50000000, 100000000, 250000000, 500000000, 1000000000], lambda x: x >= CAST(floor(value * 100000) AS BIGINT))), 1000000000) AS bound FROM events))))"""
+    ),
+)
+def compaction_recommendation(spark, sf_dir):
+    observed = stats.observation(stats.segments(load_log(spark, sf_dir)), 4096, 4_000_000, 1_000_000)
+    commits = read_table(spark, sf_dir, "events").select(F.lit(0).alias("db"), F.floor(F.col("value") * 100_000).alias("latency"))
+    config = compaction.ControllerConfig(min_garbage=1000)
+    return compaction.recommend(observed, durability.latency_percentiles(commits, ["db"]), spark.range(1).select(F.lit("read-heavy").alias("phase")), 100_000_000, config)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltlog.operators import app, models, scan
+from siltlog.operators import app, models, scan, snapshot
 from siltlog.plans.registry import query
-from siltlog.sources.log import NOW, SET, read_table
+from siltlog.sources.log import DELETE, NOW, SET, read_table
 
 _KEY = "'key-' || lpad(CAST({} AS VARCHAR), 6, '0')"
 
@@ -135,16 +135,19 @@ def _replicated(spark, sf_dir) -> DataFrame:
     return rows.select("user_id", F.expr("event_id div 200").alias("batch"), "event_id", index.cast("long").alias("index"), F.expr("1 + nth div 20").alias("term"))
 
 
-@query(
-    "raft_append",
-    """WITH RECURSIVE n AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events),
+_RAFT = """WITH RECURSIVE n AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events),
     r AS (SELECT user_id, event_id // 200 AS batch, event_id, CAST(CASE WHEN v % 13 = 0 THEN 0 WHEN v % 5 = 0 THEN (nth + 3) // 4 ELSE (nth + 1) // 2 END AS BIGINT) AS idx, 1 + nth // 20 AS term, nth FROM n),
     s0 AS (SELECT user_id, batch, event_id, idx, term, nth FROM r),
     st AS (SELECT user_id, batch, event_id, idx, term, CAST(0 AS BIGINT) AS nth, CAST([] AS BIGINT[]) AS terms, false AS failed, CAST(NULL AS BIGINT) AS b, '' AS effect FROM s0 WHERE nth = 1
     UNION ALL SELECT user_id, batch, event_id, idx, term, nth, CASE effect WHEN 'appended' THEN list_append(terms, term) WHEN 'replaced' THEN list_append(terms[:idx - 1], term) ELSE terms END, f OR effect = 'conflict', batch, effect
     FROM (SELECT *, CASE WHEN f THEN 'not reached' WHEN idx = 0 THEN 'conflict' WHEN idx <= len(terms) AND terms[idx] = term THEN 'present' WHEN idx <= len(terms) THEN 'replaced' WHEN idx = len(terms) + 1 THEN 'appended' ELSE 'conflict' END AS effect
       FROM (SELECT n.user_id, n.batch, n.event_id, n.idx, n.term, n.nth, s.terms, CASE WHEN s.b IS NOT DISTINCT FROM n.batch THEN s.failed ELSE false END AS f FROM st s JOIN s0 n ON n.user_id = s.user_id AND n.nth = s.nth + 1)))
-    SELECT user_id, batch, event_id, idx AS "index", term, effect, len(terms) AS last_index FROM st WHERE nth > 0""",
+    SELECT user_id, batch, event_id, idx AS "index", term, effect, len(terms) AS last_index FROM st WHERE nth > 0"""
+
+
+@query(
+    "raft_append",
+    _RAFT,
 )
 def raft_append(spark, sf_dir):
     return models.replicated_append(_replicated(spark, sf_dir), ["user_id"], ["event_id"])
@@ -196,3 +199,24 @@ def place_order_fold(spark, sf_dir):
     orders = read_table(spark, sf_dir, "orders").select((F.col("o_custkey") % 200).cast("string").alias("sku"), F.col("o_orderkey").alias("seq"), (F.floor(F.col("o_totalprice") / 100000) + 1).alias("count"))
     stock = read_table(spark, sf_dir, "part").where((F.col("p_partkey") < 200) & (F.col("p_partkey") % 10 != 3)).select(F.col("p_partkey").cast("string").alias("sku"), (F.col("p_size") * 5).alias("stock"))
     return app.place_orders(stock, orders)
+
+
+@query("raft_last_index", f"SELECT user_id, arg_max(last_index, event_id) AS last_index FROM ({_RAFT}) GROUP BY 1")
+def raft_last_index(spark, sf_dir):
+    return models.last_index(models.replicated_append(_replicated(spark, sf_dir), ["user_id"], ["event_id"]), ["user_id"], "event_id")
+
+
+@query("fixed_values", "SELECT id AS size, list_aggregate(list_transform(range(id), lambda k: lpad(lower(to_hex(k % 251)), 2, '0')), 'string_agg', '') AS value FROM range(1, 600) t(id)")
+def fixed_values(spark, sf_dir):
+    return spark.range(1, 600).select(F.col("id").alias("size"), models.fixed_value(F.col("id")).alias("value"))
+
+
+@query("put_objects", "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation WHERE n_nationkey % 5 <> 0")
+def put_objects(spark, sf_dir):
+    """A batch of JSON objects is put, every fifth is deleted, and the rest is read back."""
+    nation = read_table(spark, sf_dir, "nation")
+    value = F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")))
+    put = nation.select(F.lit(0).cast("long").alias("file_id"), F.col("n_nationkey").cast("long").alias("pos"), F.lit("objects").alias("bucket"), F.col("n_nationkey").cast("string").alias("key"), value.alias("value"), F.lit(SET).alias("flag"), F.lit(1).alias("status"), F.lit(0).alias("ds"), F.lit(0).cast("long").alias("ttl"), F.lit(NOW - 60).cast("long").alias("ts"), F.lit(1).cast("long").alias("tx_id"))
+    gone = put.where("pos % 5 = 0").withColumns({"file_id": F.lit(1).cast("long"), "value": F.lit(None).cast("string"), "flag": F.lit(DELETE), "tx_id": F.lit(2).cast("long")})
+    live = snapshot.live(snapshot.index_plain(put.unionByName(gone)))
+    return app.records(live, "objects", "name string, region long").select("key", "name", "region")

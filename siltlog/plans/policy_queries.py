@@ -444,3 +444,24 @@ def autonomous_observation(spark, sf_dir):
     counters = flagged.agg(F.count_if(F.col("kind") == "get").alias("reads"), F.count_if(F.col("kind") == "put").alias("writes"), F.count_if("overwrite").alias("overwrites"), F.expr("sum(latency) div count(latency)").alias("sync_latency"))
     pressure = _stats(spark, sf_dir)[0].agg(F.sum("total_bytes").alias("value_log_bytes"), F.sum("stale_bytes").alias("stale_bytes"))
     return counters.join(pressure)  # one row each
+
+
+@query("value_log_segment_ids", "SELECT CASE WHEN id = 0 THEN 'values.vlog' ELSE 'values-' || lpad(CAST(id * 977 AS VARCHAR), 20, '0') || '.vlog' END AS name, id * 977 AS segment FROM range(200) t(id)")
+def value_log_segment_ids(spark, sf_dir):
+    number = F.concat(F.lit("values-"), F.lpad((F.col("id") * 977).cast("string"), 20, "0"), F.lit(".vlog"))
+    names = spark.range(200).select(F.explode(F.array(F.when(F.col("id") == 0, "values.vlog").otherwise(number), F.concat(F.col("id").cast("string"), F.lit(".data")))).alias("name"))
+    return valuelog.segment_ids(names)
+
+
+@query(
+    "value_log_read",
+    """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'checksum differs' WHEN doc_id % 5 = 1 THEN 'out of bounds' ELSE 'ok' END AS status,
+    CASE WHEN doc_id % 5 > 1 THEN md5(text) END AS value_md5 FROM documents WHERE octet_length(encode(coalesce(text, ''))) >= 1024""",
+)
+def value_log_read(spark, sf_dir):
+    """Each long document is a segment; every fifth pointer has a wrong checksum, another fifth is a byte too long."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("blob")).where(F.octet_length("blob") >= THRESHOLD)
+    size = F.octet_length("blob") + F.when(F.col("doc_id") % 5 == 1, 1).otherwise(0)
+    crc = F.crc32("blob") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)
+    pointers = docs.select("doc_id", F.lit(0).alias("offset"), size.alias("size"), crc.alias("crc"))
+    return valuelog.read_values(docs, pointers, ["doc_id"]).select("doc_id", "status", F.md5("value").alias("value_md5"))
