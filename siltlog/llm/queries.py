@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": token_counts.op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filter": url_filter.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op3_quality": quality.ORACLE}
+ORACLES: dict[str, str] = {"op1_url_filter": url_filter.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op3_quality": quality.ORACLE, "op6_secrets": secrets.oracle()}

@@ -169,3 +169,39 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     hit = (F.size("base") + F.size("added")) > 0
     new = {"text": F.when(hit, F.col("clean")).otherwise(F.col("row.text")), "n_chars": F.when(hit, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))}
     return found.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def oracle() -> str:
+    """The query in DuckDB's SQL: positions from the pieces between matches, entropy of every window from scratch."""
+    lists = ",\n".join(
+        f"l{k} AS (SELECT rid, {k} AS kind_no, '{name}' AS kind, regexp_extract_all(t, {p}) AS ms, regexp_extract_all(t, {p}, {group}) AS gs, string_split_regex(t, {p}) AS gaps, {least} AS least FROM d)"
+        for k, (name, p, group, least) in enumerate(
+            [(name, "'" + pattern.replace("'", "''") + "'", group, least) for name, pattern, group, least in BASE]
+            + [(f"entropy_{c.name}", f"'[{c.characters}]{{{c.window},}}'", 0, 0) for c in CLASSES]
+        )
+    )
+    n = len(BASE) + len(CLASSES)
+    mixed = " OR ".join(f"(kind = 'entropy_{c.name}' AND " + " AND ".join(f"regexp_matches(s, '{p}')" for p in c.mixed) + ")" for c in CLASSES)
+    allowed = " OR ".join(f"regexp_matches(s, '{p}')" for p in ALLOW if "\\" not in p)
+    width = " ".join(f"WHEN 'entropy_{c.name}' THEN {c.window}" for c in CLASSES)
+    bits = " ".join(f"WHEN 'entropy_{c.name}' THEN {c.bits}" for c in CLASSES)
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+{lists},
+m AS (SELECT rid, kind_no, kind, ms[i] AS s, length(gs[i]) AS size, least,
+        list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS start
+      FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM ({" UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(n))}))),
+base AS (SELECT rid, kind_no, kind, start, start + length(s) AS stop FROM m WHERE kind_no < {len(BASE)} AND size >= least),
+c AS (SELECT *, CASE kind {width} END AS w, CASE kind {bits} END AS bits FROM m
+      WHERE kind_no >= {len(BASE)} AND ({mixed}) AND NOT ({allowed} OR len(list_distinct(string_split(s, ''))) = 1)),
+win AS (SELECT rid, kind_no, kind, start, w, k FROM (SELECT *, unnest(range(0, length(s) - w + 1)) AS k FROM c)
+        WHERE list_aggregate(string_split(substr(s, k + 1, w), ''), 'entropy') >= bits - 4e-11),
+isl AS (SELECT *, sum(CASE WHEN k - prev <= w THEN 0 ELSE 1 END) OVER (PARTITION BY rid, kind_no, start ORDER BY k) AS island
+        FROM (SELECT *, lag(k) OVER (PARTITION BY rid, kind_no, start ORDER BY k) AS prev FROM win)),
+added AS (SELECT rid, kind_no, kind, start + min(k) AS a, start + max(k) + any_value(w) AS stop FROM isl GROUP BY rid, kind_no, kind, start, island),
+found AS (SELECT rid, kind_no, kind, start, stop FROM base
+          UNION ALL SELECT rid, kind_no, kind, a, stop FROM added x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = x.rid AND b.start < x.stop AND x.a < b.stop)),
+texts AS (SELECT *, kind || ':' || CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR) AS said FROM found),
+docs AS (SELECT rid, count(*) FILTER (kind_no = 0) AS n0, count(*) FILTER (kind_no = 1) AS n1, count(*) FILTER (kind_no = 2) AS n2,
+           string_agg(said, ',' ORDER BY start, kind_no, stop) FILTER (kind_no < {len(BASE)}) AS base_said, string_agg(said, ',' ORDER BY start, kind_no, stop) AS spans FROM texts GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base_said, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN docs USING (rid)"""

@@ -353,6 +353,20 @@ def test_secrets(spark):
         assert sorted((s.kind, s.start, s.end) for s in got[k].added) == sorted(brute_entropy(t, base)), t
 
 
+def test_secrets_equal_sql(spark, tmp_path):
+    import duckdb
+
+    rnd = random.Random(9)
+    texts = [*SECRETS, *("".join(rnd.choice("0123456789abcdefABCDEFxyzXYZ +/") for _ in range(120)) for _ in range(40))]
+    docs_of(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.execute(f"SELECT doc_id, n_assign, n_access, n_hex, base_sha256, spans FROM ({secrets.oracle()})").fetchall()
+    got = secrets.op6_secrets(spark, str(tmp_path)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sum("entropy" in r.spans for r in got) > 3
+
+
 def test_secret_stage(spark):
     docs = docs_of(spark, [(1, "a password=abcdefgh1 b"), (2, None), (3, "plain")])
     out = {r.doc_id: r for r in secrets.stage(spark, docs, "").collect()}
