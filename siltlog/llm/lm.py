@@ -5,8 +5,8 @@
 3. Exchange clustering on the driver, on a matrix whose size is fixed: each of the frequent words moves to the
    class where the likelihood of the class bigrams is highest, until none moves.
 4. A text's score is the sum, over its words and its end, of log10 of the smoothed class transition times the
-   word's probability in its class. Words that aren't frequent share an open class, where a word's probability
-   follows its count plus one, so that unknown words have some too.
+   word's probability in its class. Words that aren't frequent share an open class, which gives unknown words (one
+   type, as in the base) the weight of the words that occur once, after Good and Turing.
 
 Counts of the words from a threshold on are sent to all tasks as a dictionary (the threshold is the lowest
 at which at most DICTIONARY_WORDS words are left); counts of the words below it, whose number grows with the
@@ -70,7 +70,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Dictionary:
-    """Words from a threshold on: number by word, counts by number. whole: there are no other known words."""
+    """Words from a threshold on: number by word, counts by number. whole: there are no other known words. once: how
+    many words occur once, 1 at least."""
 
     number: dict[bytes, int]
     counts: np.ndarray
@@ -79,6 +80,7 @@ class Dictionary:
     n_train: int
     n_tokens: int
     n_words: int
+    once: int
 
 
 def dictionary(counts: DataFrame, n_train: int, words: int = DICTIONARY_WORDS) -> Dictionary:
@@ -93,7 +95,7 @@ def dictionary(counts: DataFrame, n_train: int, words: int = DICTIONARY_WORDS) -
         chosen, least_step = chosen + by_step[s][0], s
     top = counts.where(step >= least_step).collect() if least_step is not None else []
     top.sort(key=lambda r: (-r.c, bytes(r.word)))
-    return Dictionary({bytes(r.word): k for k, r in enumerate(top)}, np.array([r.c for r in top], np.int64), chosen == known, least_step if least_step is not None else 1 << 20, n_train, tokens + n_train, known + (n_train > 0))
+    return Dictionary({bytes(r.word): k for k, r in enumerate(top)}, np.array([r.c for r in top], np.int64), chosen == known, least_step if least_step is not None else 1 << 20, n_train, tokens + n_train, known + (n_train > 0), max(1, by_step.get(0, (0, 0))[0]))
 
 
 def symbol_bigrams(texts: DataFrame, frequent: list[bytes]) -> np.ndarray:
@@ -172,8 +174,8 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
 
 @dataclass(frozen=True)
 class Model:
-    """log10 of transitions, class by number of a dictionary word, log10 of its probability in the class less
-    log10(c + 1) for words of the open class, and log10 of the open class's total."""
+    """log10 of transitions, class by number of a dictionary word, log10 of its probability in its class, the open
+    class and that of the border, log10 of the open class's total and of the weight of unknown words in it."""
 
     transition: np.ndarray
     of: np.ndarray
@@ -181,6 +183,7 @@ class Model:
     open_class: int
     border: int
     open_total: float
+    unknown: float
 
 
 def fit(words: Dictionary, bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> Model:
@@ -192,13 +195,12 @@ def fit(words: Dictionary, bigrams: np.ndarray, classes: int = CLASSES, rounds:
     share = (pairs.sum(0) + 1) / (pairs.sum() + k)
     transition = np.log10((pairs + SMOOTHING * share) / (pairs.sum(1, keepdims=True) + SMOOTHING))
     sums = np.bincount(of[:m], words.counts[:m], k) if m else np.zeros(k)
-    emission = np.zeros(len(words.counts))
+    open_total = math.log10(words.n_tokens - words.n_train - int(words.counts[:m].sum()) + words.once)
+    emission = np.log10(np.maximum(words.counts, 1)) - open_total
     emission[:m] = np.log10(words.counts[:m] / np.maximum(sums[of[:m]], 1)) if m else 0
-    open_tokens = words.n_tokens - words.n_train - int(words.counts[:m].sum())
-    open_words = words.n_words - (words.n_train > 0) - m
     number_class = np.full(len(words.counts), of[m])
     number_class[:m] = of[:m]
-    return Model(transition, number_class, emission, int(of[m]), int(of[m + 1]), math.log10(open_tokens + open_words + 1))
+    return Model(transition, number_class, emission, int(of[m]), int(of[m + 1]), open_total, math.log10(words.once))
 
 
 def train(texts: DataFrame, n_train: int, dictionary_words: int = DICTIONARY_WORDS, frequent_words: int = FREQUENT_WORDS, classes: int = CLASSES) -> tuple[DataFrame, Dictionary, Model]:
@@ -227,9 +229,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=
         get, none = words.number.get, len(words.counts)
         plus_one = np.append(np.log10(words.counts + 1.0), 0.0)
         of = np.append(model.of, model.open_class)
-        # a word of the open class: log10(c + 1) - log10(total); the first part of words below the threshold comes later
-        is_open = of == model.open_class
-        emission = np.where(is_open, plus_one - model.open_total, np.append(model.emission, 0.0))
+        # words below the threshold count as unknown here; what they have beyond that is added after the join
+        emission = np.append(model.emission, model.unknown - model.open_total)
         key = TaskContext.get().partitionId() << 33
         for batch in batches:
             out: list[tuple] = []
@@ -254,12 +255,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=
     scored = written(scored, "scored")
     below = counts.where(F.floor(F.log2(F.col("c")) * STEPS + 1e-6) < words.least)
     rare = scored.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.n")
-    more = rare.join(below, "word").groupBy("key").agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("log"))
+    more = rare.join(below, "word").groupBy("key").agg(
+        F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("base"), F.sum(F.col("n") * (F.log10("c") - model.unknown)).alias("model")
+    )
     both = scored.drop("rare").join(more, "key", "left").withColumns(
         {
             "n_known": F.col("n_known") + F.coalesce("known", F.lit(0)),
-            "base_score": F.col("base_score") + F.coalesce("log", F.lit(0.0)),
-            "score": F.col("score") + F.coalesce("log", F.lit(0.0)),
+            "base_score": F.col("base_score") + F.coalesce("base", F.lit(0.0)),
+            "score": F.col("score") + F.coalesce("model", F.lit(0.0)),
         }
     )
     return both.select(columns)

@@ -568,8 +568,8 @@ def test_lm_is_a_distribution(spark):
     assert np.allclose(p.sum(1), 1)
     emitted = Counter()
     for k, of in enumerate(model.of):
-        emitted[of] += (words.counts[k] + 1) / 10**model.open_total if of == model.open_class else 10 ** model.emission[k]
-    emitted[model.open_class] += 1 / 10**model.open_total  # the unknown word
+        emitted[of] += 10 ** model.emission[k]
+    emitted[model.open_class] += 10 ** (model.unknown - model.open_total)
     assert all(abs(x - 1) < 1e-9 for x in emitted.values())
 
 
