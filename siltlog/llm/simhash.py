@@ -98,6 +98,28 @@ def spanning_links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
 
 
+def _starts(rows: np.ndarray) -> np.ndarray:
+    """Where the rows of a (mask, key) begin."""
+    if not rows.shape[1]:
+        return np.empty(0, np.int64)
+    new = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+def _links_of(fps: np.ndarray, starts: np.ndarray, distance: int) -> pa.RecordBatch:
+    """spanning_links of each run of rows; runs of two, by far the most, all at once."""
+    ends = np.append(starts, len(fps))[1:]
+    two = starts[ends - starts == 2]
+    close = np.bitwise_count((fps[two] ^ fps[two + 1]).view(np.uint64)) <= distance
+    a, b = [fps[two][close]], [fps[two + 1][close]]
+    for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+        if end - start > 2:
+            x, y = spanning_links(fps[start:end], distance)
+            a.append(x)
+            b.append(y)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
+
+
 def close_links(fps: DataFrame, distance: int, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Distinct fingerprints (fp) to links (a, b) whose components are those of all pairs within distance."""
     if blocks <= distance:
@@ -105,9 +127,16 @@ def close_links(fps: DataFrame, distance: int, blocks: int = BLOCKS, bucket_rows
     if bucket_rows < 1 << distance:
         raise ValueError("a bucket must hold the fingerprints that differ in `distance` given bits")
 
-    def links(key: tuple, batch: pa.Table) -> pa.Table:
-        a, b = spanning_links(batch.column("fp").to_numpy(), distance)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (mask, key, fp) with the rows of a key together; a key's rows may go on in the next batch."""
+        left = np.empty((3, 0), np.int64)
+        for batch in batches:
+            rows = np.concatenate([left, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            starts = _starts(rows)
+            if len(starts):
+                yield _links_of(rows[2, : starts[-1]], starts[:-1], distance)
+                left = rows[:, starts[-1] :]
+        yield _links_of(left[2], np.zeros(min(1, left.shape[1]), np.int64), distance)
 
     spark = fps.sparkSession
     cut = blocks_of(list(range(BITS)), blocks)
@@ -116,7 +145,8 @@ def close_links(fps: DataFrame, distance: int, blocks: int = BLOCKS, bucket_rows
     while True:
         sizes = written(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
         small = keyed.join(sizes.where(F.col("n") <= bucket_rows).select("mask", "key"), ["mask", "key"], "left_semi")
-        found = small.groupBy("mask", "key").applyInArrow(links, "a long, b long")
+        dealt = small.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key")
+        found = dealt.mapInArrow(links, "a long, b long")
         hot = sizes.where(F.col("n") > bucket_rows).select("mask", "key")
         masks = [r.mask for r in hot.select("mask").distinct().collect()]  # as many as the blocks make, whatever the rows
         if not masks:

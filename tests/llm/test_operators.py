@@ -500,6 +500,18 @@ def test_close_links(spark, bucket_rows):
     assert all(want[v] == g for g in groups.values() for v in g)
 
 
+def test_runs_of_rows():
+    rnd = random.Random(11)
+    rows = np.array(sorted((rnd.randrange(3), rnd.randrange(4), rnd.getrandbits(3)) for _ in range(60)), np.int64).T
+    starts = simhash._starts(rows)
+    assert [tuple(rows[:2, s]) for s in starts] == sorted({tuple(c) for c in rows[:2].T})
+    assert simhash._links_of(rows[2, :0], starts[:0], 4).num_rows == 0
+    distinct = np.array([1, 2, 4, 255, 256 + 255], np.int64)
+    got = simhash._links_of(distinct, np.array([0, 3]), 4)
+    assert got.num_rows == 3  # a chain of three, and one pair
+    assert simhash._links_of(distinct[3:], np.array([0]), 0).num_rows == 0
+
+
 def test_near_groups(docs, texts):
     got = simhash.near_groups(docs, words=4, distance=4)
     prints = [(k, brute_fingerprint(t, 4)) for k, t in texts]
