@@ -1,9 +1,9 @@
 """Exact deduplication by a log-structured merge index.
 
-Each task keeps a memtable of digests and flushes it, sorted, as a run. Compaction merges all runs, keeping
-for each digest the smallest identifier (the largest on request) and the number of rows. The compacted
-index yields a filter of the digests that occur more than once; rows that pass it are hits, whose bytes are
-compared with the bytes of the row that stays. Rows that share a digest but not the bytes (a collision) are
+Each task keeps a memtable of digests and flushes it, sorted, as a run: Parquet with a Bloom filter on the digest.
+Compaction merges all runs, keeping for each digest the smallest identifier (the largest on request) and the
+number of rows. The compacted index yields a filter of the digests that occur more than once; rows that pass it are
+hits, whose bytes are compared with the bytes of the row that stays. Rows that share a digest but not the bytes (a collision) are
 grouped again by digest and bytes, so the result never depends on the digest alone.
 
 Only hits move their text. The filter has a fixed number of bits at any input size; when it fills up, more
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .base import one_row_each, table, written
+from .base import new_folder, one_row_each, table, written
 
 #: Entries that a memtable holds before it is flushed as a run.
 MEMTABLE_ROWS = 200_000
@@ -73,6 +73,40 @@ def compact(runs: DataFrame, keep: str = "smallest") -> DataFrame:
     return runs.groupBy("digest").agg(pick("keep_id").alias("keep_id"), F.sum("n").alias("n"))
 
 
+class MergeIndex:
+    """The index on disk: runs of level 0, as they were flushed, and one compacted level 1. Both are sorted by digest
+    and have Bloom filters, so a lookup of a few digests reads few row groups."""
+
+    def __init__(self, spark: SparkSession, keep: str = "smallest", memtable_rows: int = MEMTABLE_ROWS):
+        self.spark, self.keep, self.memtable_rows = spark, keep, memtable_rows
+        self.runs: list[str] = []
+        self.level: str | None = None
+
+    def _write(self, entries: DataFrame, label: str) -> str:
+        path = new_folder(self.spark, label)
+        filters = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(self.memtable_rows)}
+        entries.write.options(**filters).parquet(path)
+        return path
+
+    def add(self, rows: DataFrame) -> None:
+        """Flushes the runs of (id, digest)."""
+        self.runs.append(self._write(flush_runs(rows, self.keep, self.memtable_rows).select("digest", "keep_id", "n"), "runs"))
+
+    def entries(self) -> DataFrame:
+        """(digest, keep_id, n) of all levels; a digest may have several until the next compaction."""
+        paths = [*self.runs, *filter(None, [self.level])]
+        return self.spark.read.schema("digest binary, keep_id long, n long").parquet(*paths) if paths else self.spark.createDataFrame([], "digest binary, keep_id long, n long")
+
+    def compact(self) -> DataFrame:
+        """Merges all levels into one and returns it."""
+        merged = compact(self.entries(), self.keep).sortWithinPartitions("digest")
+        self.level, self.runs = self._write(merged, "compacted"), []
+        return self.entries()
+
+    def find(self, digests: list[bytes]) -> DataFrame:
+        return compact(self.entries().where(F.col("digest").isin([bytearray(d) for d in digests])), self.keep)
+
+
 def filter_bits(repeated: DataFrame, words: int = FILTER_WORDS) -> np.ndarray:
     """A Bloom filter of the digests in repeated. At most `words` rows reach the driver, whatever the input."""
     bits = [F.conv(F.hex(F.substring("digest", 1 + 4 * k, 4)), 16, 10).cast("long") % (64 * words) for k in range(FILTER_PROBES)]
@@ -112,8 +146,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.withColumn("digest", digest(F.col("text")))
     rows = written(texts.select("id", "digest"), "digests")
-    index = compact(flush_runs(rows, keep, memtable_rows), keep)
-    repeated = written(index.where("n > 1"), "repeated")
+    index = MergeIndex(docs.sparkSession, keep, memtable_rows)
+    index.add(rows)
+    repeated = written(index.compact().where("n > 1"), "repeated")
     probe = passes(filter_bits(repeated, filter_words))
     hits = texts.where(probe("digest"))
     # written, so that the join has plain shuffles on both sides and a digest with many hits can be split

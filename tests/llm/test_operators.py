@@ -124,6 +124,24 @@ def test_exact_groups_of_colliding_digests(docs, texts):
     assert Counter((r.id, r.keep_id, r.group_size, r.kept) for r in got.collect()) == want
 
 
+def test_merge_index(spark):
+    """Batches added one after the other, with and without compaction in between, and lookups."""
+    rnd = random.Random(13)
+    pairs = [(rnd.randrange(1000), hashlib.sha256(bytes([rnd.randrange(40)])).digest()) for _ in range(300)]
+    index = exact_dedup.MergeIndex(spark, memtable_rows=16)
+    assert index.entries().collect() == []
+    for k in range(0, 300, 100):
+        index.add(spark.createDataFrame([(i, bytearray(d)) for i, d in pairs[k : k + 100]], "id long, digest binary"))
+        if k == 100:
+            index.compact()
+    want = {d: (min(i for i, e in pairs if e == d), sum(e == d for _, e in pairs)) for _, d in pairs}
+    some = [*list(want)[:3], b"no digest"]
+    found = index.find(some)
+    assert {bytes(r.digest): (r.keep_id, r.n) for r in found.collect()} == {d: want[d] for d in some[:3]}
+    assert "PushedFilters: [In(digest" in found._jdf.queryExecution().executedPlan().toString()
+    assert {bytes(r.digest): (r.keep_id, r.n) for r in index.compact().collect()} == want
+
+
 def test_exact_groups_of_nothing(spark, empty):
     assert exact_dedup.exact_groups(empty).collect() == []
     assert exact_dedup.stage(spark, empty, "").collect() == []
