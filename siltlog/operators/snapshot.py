@@ -24,8 +24,9 @@ def committed(log: DataFrame) -> DataFrame:
 
 
 def committed_log(log: DataFrame) -> DataFrame:
-    """Entries of committed transactions. A plain semi join: the planner broadcasts the markers or sorts, by size."""
-    return log.join(committed(log), "tx_id", "left_semi").select(log.columns)
+    """Entries of committed transactions. A plain semi join, which needs no distinct markers: the planner broadcasts them
+    or sorts both sides, by size."""
+    return log.join(log.where("status = 1").select("tx_id"), "tx_id", "left_semi").select(log.columns)
 
 
 def latest(entries: DataFrame, columns: list[str] | None = None) -> DataFrame:
