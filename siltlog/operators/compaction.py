@@ -10,9 +10,9 @@ from pyspark.sql.window import Window
 
 from siltlog.functions.expr import clamp01, clamp_budget, garbage_ratio, is_expired, positive_ratio, ratio
 from siltlog.functions.fold import ordered_fold
-from siltlog.operators.snapshot import BY_KEY, ORDER, committed_log
+from siltlog.operators.snapshot import BY_KEY, ORDER, committed_log, without_deleted_buckets
 from siltlog.operators.stats import sized
-from siltlog.sources.log import DELETE, NOW
+from siltlog.sources.log import BUCKET_DELETE, DELETE, MARKER, NOW
 
 
 def by_file_id(segs: DataFrame) -> DataFrame:
@@ -62,15 +62,18 @@ def survivors(log: DataFrame, sources: DataFrame, now: int = NOW) -> DataFrame:
 
     Committed entries that are the last of their key survive unless deleted or expired. Those two are kept as well
     while an older committed entry of the key lies outside the sources: dropping them would bring that one back.
+    Markers that delete a bucket stay, and what they delete goes.
     """
     files = sources.select("file_id").distinct().withColumn("_merged", F.lit(True))
-    entries = committed_log(log).join(files, "file_id", "left")
+    done = committed_log(log)
+    entries = without_deleted_buckets(done).join(files, "file_id", "left")
     # one row per key and task: the last entry, and whether any lies outside
     row = F.max_by(F.struct(*log.columns, "_merged"), F.struct(*ORDER)).alias("last")
     by_key = entries.groupBy(*[F.col(k).alias(f"_{k}") for k in BY_KEY]).agg(row, (F.count_if(F.col("_merged").isNull()) > 0).alias("_outside"))
     last = by_key.where("last._merged").select("last.*", "_outside")
     dead = (F.col("flag") == DELETE) | is_expired(now)
-    return last.where(~dead | F.col("_outside")).select(log.columns)
+    marks = done.where((F.col("ds") == MARKER) & (F.col("flag") == BUCKET_DELETE)).join(files, "file_id", "left_semi")
+    return last.where(~dead | F.col("_outside")).select(log.columns).unionByName(marks.select(log.columns))
 
 
 def merge_bytes(log: DataFrame, sources: DataFrame, now: int = NOW) -> DataFrame:
@@ -81,17 +84,16 @@ def merge_bytes(log: DataFrame, sources: DataFrame, now: int = NOW) -> DataFrame
 
 
 def merged_log(log: DataFrame, sources: DataFrame, file_id: int, now: int = NOW) -> DataFrame:
-    """The log after the merge: the other files as they are, survivors in a new file in a committed transaction."""
-    rest = log.join(sources.select("file_id"), "file_id", "left_anti").select(log.columns)
-    kept = survivors(log, sources, now)
-    # survivors keep their order by an ordinal within the new file: old position in a number space of its own
-    moved = kept.withColumns({"pos": F.col("file_id") * (1 << 32) + F.col("pos"), "status": F.lit(1), "tx_id": F.lit(-1 - file_id).cast("long")})
-    return rest.unionByName(moved.withColumn("file_id", F.lit(file_id).cast("long")).select(log.columns))
-
+    """The log after the merge: the other files, and the survivors in a new file in a committed transaction.
 
-def merge_order(log: DataFrame) -> int:
-    """A file id after all others."""
-    return log.agg(F.max("file_id")).first()[0] + 1
+    Entries in other files whose transaction has its marker in a merged file get a marker of their own.
+    """
+    files = sources.select("file_id").distinct()
+    marked = log.where("status = 1").join(files, "file_id", "left_semi").select("tx_id", F.lit(1).alias("_marked")).distinct()
+    rest = log.join(files, "file_id", "left_anti").join(marked, "tx_id", "left").withColumn("status", F.coalesce("_marked", "status")).select(log.columns)
+    # survivors keep their order: the old file and position make the position in the new file
+    moved = survivors(log, sources, now).withColumns({"pos": F.col("file_id") * (1 << 32) + F.col("pos"), "status": F.lit(1), "tx_id": F.lit(-1 - file_id).cast("long")})
+    return rest.unionByName(moved.withColumn("file_id", F.lit(file_id).cast("long")).select(log.columns))
 
 
 def analyze_workload(ops: DataFrame, rewrite_bytes: int, physical_bytes: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltlog.functions.expr import byte_length
-from siltlog.operators import compaction
+from siltlog.operators import compaction, stats
 from siltlog.sources.log import LOG_SCHEMA, NOW
 
 
@@ -99,6 +99,30 @@ class LogTable:
             raise ValueError("files between the sources aren't merged")
         self._publish([self._write(compaction.merged_log(log, sources, ids[-1], now))])
 
+    def merge_within(self, budget: int, now: int = NOW) -> list[list[int]]:
+        """Merges the segments that fit the budget, first fit in file order; returns the runs of files merged.
+
+        Files that stay out split the others into runs; a run of one file is left as it is.
+        """
+        log = self.read()
+        segments = stats.segments(log, now=now)
+        chosen = {r.file_id for r in compaction.within_budget(segments, budget).collect()}
+        runs: list[list[int]] = [[]]
+        for file_id in sorted(r.file_id for r in segments.select("file_id").collect()):
+            if file_id in chosen:
+                runs[-1].append(file_id)
+            elif runs[-1]:
+                runs.append([])
+        runs = [r for r in runs if len(r) > 1]
+        for run in runs:
+            self.merge(self.spark.createDataFrame([(f,) for f in run], "file_id long"), now)
+        return runs
+
+    def merge_recommended(self, recommendation: DataFrame, now: int = NOW) -> list[list[int]]:
+        """Does what compaction.recommend() says: nothing if it isn't available or has no budget."""
+        row = recommendation.first()
+        return self.merge_within(row.budget, now) if row and row.available and row.budget else []
+
     def vacuum(self) -> None:
         """Removes data sets and pointers that the current snapshot doesn't use."""
         used = {*self._current(), "CURRENT"}

@@ -101,6 +101,24 @@ def test_any_merge_keeps_the_snapshot(spark, sources):
     assert {(r.key, r.value) for r in snapshot.live(snapshot.index(after), NOW).collect()} == before
 
 
+@pytest.mark.parametrize("first,last", [(a, b) for a in range(4) for b in range(a + 1, 4)])
+def test_merged_runs(spark, first, last):
+    """Transactions across files, bucket deletes, deletes: the snapshot stays, and a second merge changes nothing."""
+    rows = [put(f"k{n}", "0", 1, status=0) for n in range(9)] + [put("span", "first", 7, status=0)]
+    rows += [put("k0", "marker of both", 7), put("k1", "1", 1), delete("k2", 8), ("b2", "x", "lost", 1, 1, 0, NOW, 9), put("k3", "2", 10, status=0)] + [put(f"f{n}", "1", 11) for n in range(5)]
+    rows += [("b2", "", None, 16, 1, 0, NOW, 12), ("b2", "y", "kept", 1, 1, 0, NOW, 13), put("k4", "3", 14, ttl=1, ts=NOW - 10), put("k3", "marked late", 10)] + [put(f"f{n}", "2", 15) for n in range(6)]
+    rows += [put("k2", "again", 16), delete("f0", 17), put("open", "x", 18, status=0)]
+    log = log_of(spark, rows).withColumn("ds", F.when(F.col("flag") == 16, 1).otherwise(0))
+    state = lambda df: {(r.bucket, r.key, r.value) for r in snapshot.live(snapshot.index(df), NOW).collect()}
+    before = state(log)
+    assert ("b2", "y", "kept") in before and ("b", "span", "first") in before and len(before) > 10
+    files = spark.createDataFrame([(f,) for f in range(first, last + 1)], "file_id long")
+    merged = spark.createDataFrame(compaction.merged_log(log, files, last, NOW).collect(), LOG_SCHEMA)
+    assert state(merged) == before
+    again = compaction.merged_log(merged, merged.select("file_id").distinct(), 3, NOW)
+    assert state(again) == before
+
+
 def test_log_table(spark, tmp_path):
     table = LogTable(spark, f"file://{tmp_path}/log")
     batch = lambda rows: spark.createDataFrame(rows, "seq long, bucket string, key string, value string, ttl long")
@@ -114,7 +132,10 @@ def test_log_table(spark, tmp_path):
     table.put_batch(batch([(0, "b", "k2", "gone", 5)]), NOW - 100)
     state = lambda: {(r.key, r.value) for r in snapshot.live(snapshot.index(table.read()), NOW).collect()}
     assert state() == {("k1", "new")}
-    table.merge(table.read().select("file_id").distinct(), NOW)
+    assert table.merge_within(60, NOW) == []
+    none = spark.createDataFrame([(True, 0)], "available boolean, budget long")
+    assert table.merge_recommended(none, NOW) == []
+    assert table.merge_within(10_000, NOW) == [[0, 1, 2]]
     assert state() == {("k1", "new")}
     assert table.read().count() == 1
     table.vacuum()
