@@ -23,6 +23,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -137,13 +138,11 @@ def search(spark: SparkSession, lengths: dict[int, int], size: int, islands: int
                 rnd = random.Random(f"{seed}-{island}")
                 yield frame(rows(int(island), evolve([seeded(lengths, size, rnd, not k) for k in range(MEMBERS)], lengths, size, rnd)))
 
-    def frame(got: list[tuple]):
-        import pandas as pd
-
+    def frame(got: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(got, columns=["island", "member", "bins", "fitness", "genome"])
 
     def epoch(number: int):
-        def run(key: tuple, members):
+        def run(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
             rnd = random.Random(f"{seed}-{number}-{key[0]}")
             population = [[(tuple(p), n) for p, n in json.loads(g)] for g in members.sort_values(["bins", "fitness", "member"])["genome"]]
             return frame(rows(int(key[0]), evolve(population[:MEMBERS], lengths, size, rnd)))
