@@ -72,7 +72,7 @@ class EpochProcessor(StatefulProcessor):
     def _open(self) -> tuple[int, int, int, int]:
         return tuple(self.state.get()) if self.state.exists() else (1, 0, 0, 0)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         epoch, first, n, last = self._open()
         out = []
         for frame in rows:
@@ -91,10 +91,10 @@ class EpochProcessor(StatefulProcessor):
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
         if self.timers and n:
-            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.max_delay)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.max_delay)
         yield pd.DataFrame(out, columns=["instance", "epoch", "waiters", "frontier"])
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         epoch, first, n, last = self._open()
         if n:
             self.state.update((epoch + 1, first, 0, last))

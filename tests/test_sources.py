@@ -55,3 +55,24 @@ def test_epoch_stream(spark, tmp_path):
     rows = [(1, k, 0) for k in range(10)] + [(2, k, k * 100) for k in range(5)]
     got = state.run_epochs(spark, spark.createDataFrame(rows, "instance long, seq long, at long"), f"file://{tmp_path}", 4, 200)
     assert {(r.instance, r.epoch, r.waiters, r.frontier) for r in got.collect()} == {(1, 1, 4, 3), (1, 2, 4, 7), (2, 1, 2, 1), (2, 2, 2, 3)}
+
+
+def test_epoch_timer(spark, tmp_path):
+    """An epoch that nobody fills closes when its delay has passed."""
+    import time
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source, out = f"file://{tmp_path}/source", f"file://{tmp_path}/out"
+    schema = "instance bigint, seq bigint, at bigint"
+    spark.createDataFrame([(1, k, 0) for k in range(3)], schema).coalesce(1).write.parquet(source)
+    stream = state.epochs(spark.readStream.schema(schema).parquet(source), 16, 500)
+    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"file://{tmp_path}/checkpoint").outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        got, until = [], time.time() + 60
+        while not got and time.time() < until and query.isActive:
+            time.sleep(1)
+            if (tmp_path / "out" / "_spark_metadata").exists():
+                got = spark.read.schema("instance bigint, epoch bigint, waiters bigint, frontier bigint").parquet(out).collect()
+    finally:
+        query.stop()
+    assert [tuple(r) for r in got] == [(1, 1, 3, 2)]
