@@ -1,8 +1,9 @@
 """Commands that write: appending to a log table, merging files, collecting a value log's garbage.
 
-A log table is a folder of snapshots, each a Parquet data set, and a pointer file with the name of the current
-one. A command writes a new data set, then swaps the pointer by a rename, so a reader sees the old state or the new
-one, and a command that dies in between leaves the old state and a folder that vacuum() removes.
+A log table is a folder of Parquet data sets and of numbered pointers, each with the names of the data sets of a
+snapshot. A command writes a new data set, then a pointer under a temporary name, and renames it to the next number; a
+reader takes the highest number, so it sees the old state or the new one. A command that dies in between leaves the
+old state and folders that vacuum() removes; of two that publish the same number one fails.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ class EmptyBucket(ValueError):
     pass
 
 
+#: How pointers' names begin; a number of twelve digits follows.
+POINTER = "snapshot-"
+
+
 class LogTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -33,21 +38,23 @@ class LogTable:
         self._new_path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._new_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _version(self) -> int:
+        """The number of the newest pointer, -1 for a new table."""
+        at = self._new_path(self.path)
+        names = [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return max((int(n[len(POINTER) :]) for n in names if n.startswith(POINTER) and n[len(POINTER) :].isdigit()), default=-1)
+
     def _current(self) -> list[str]:
         """The data sets of the current snapshot."""
-        at = self._new_path(f"{self.path}/CURRENT")
-        if not self._fs.exists(at):
-            return []
-        return [r.value for r in self.spark.read.text(f"{self.path}/CURRENT").collect() if r.value]
-
-    def _publish(self, names: list[str]) -> None:
-        new = f"{self.path}/CURRENT.{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(n,) for n in names], "value string").coalesce(1).write.text(new)
-        old = self._new_path(f"{self.path}/CURRENT")
-        if self._fs.exists(old):
-            self._fs.rename(old, self._new_path(f"{self.path}/OLD.{uuid.uuid4().hex}"))
-        if not self._fs.rename(self._new_path(new), old):
-            raise RuntimeError("the new snapshot could not be published")
+        version = self._version()
+        return [] if version < 0 else [r.value for r in self.spark.read.text(f"{self.path}/{POINTER}{version:012d}").collect() if r.value]
+
+    def _publish(self, names: list[str], after: int) -> None:
+        """Makes names the snapshot that follows number `after`."""
+        new, final = self._new_path(f"{self.path}/new-{uuid.uuid4().hex}"), self._new_path(f"{self.path}/{POINTER}{after + 1:012d}")
+        self.spark.createDataFrame([(n,) for n in names], "value string").coalesce(1).write.text(str(new.toString()))
+        if self._fs.exists(final) or not self._fs.rename(new, final):
+            raise RuntimeError("another command has published a snapshot meanwhile")
 
     def read(self) -> DataFrame:
         names = self._current()
@@ -66,6 +73,7 @@ class LogTable:
 
         An empty key or bucket rejects the batch; an empty batch does nothing.
         """
+        version = self._version()
         bad = entries.agg(F.count_if(F.coalesce(F.length("key"), F.lit(0)) == 0).alias("keys"), F.count_if(F.coalesce(F.length("bucket"), F.lit(0)) == 0).alias("buckets"), F.count("*").alias("n"), F.max("seq").alias("last")).first()
         if bad["keys"]:
             raise EmptyKey("an entry has no key")
@@ -80,16 +88,18 @@ class LogTable:
             F.lit(0).alias("ds"), F.col("ttl").cast("long").alias("ttl"), F.lit(ts).cast("long").alias("ts"), F.lit(file_id).cast("long").alias("tx_id"),
         )
         names = self._current()
-        self._publish([*names, self._write(rows)])
+        self._publish([*names, self._write(rows)], version)
 
     def load(self, log: DataFrame) -> None:
-        self._publish([*self._current(), self._write(log)])
+        version = self._version()
+        self._publish([*self._current(), self._write(log)], version)
 
     def merge(self, sources: DataFrame, now: int = NOW) -> None:
         """Rewrites the source files into one, which takes the place of the newest of them.
 
         Sources must be consecutive up to the newest, or an entry of a file between them could lose its order.
         """
+        version = self._version()
         log = self.read()
         ids = sorted(r.file_id for r in sources.select("file_id").distinct().collect())  # a file list, as long as the log's
         if len(ids) < 2:
@@ -97,7 +107,7 @@ class LogTable:
         between = log.where(F.col("file_id").between(ids[0], ids[-1]) & ~F.col("file_id").isin(ids)).isEmpty()
         if not between:
             raise ValueError("files between the sources aren't merged")
-        self._publish([self._write(compaction.merged_log(log, sources, ids[-1], now))])
+        self._publish([self._write(compaction.merged_log(log, sources, ids[-1], now))], version)
 
     def merge_within(self, budget: int, now: int = NOW) -> list[list[int]]:
         """Merges the segments that fit the budget, first fit in file order; returns the runs of files merged.
@@ -125,7 +135,7 @@ class LogTable:
 
     def vacuum(self) -> None:
         """Removes data sets and pointers that the current snapshot doesn't use."""
-        used = {*self._current(), "CURRENT"}
+        used = {*self._current(), f"{POINTER}{self._version():012d}"}
         for status in self._fs.listStatus(self._new_path(self.path)):
             if status.getPath().getName() not in used:
                 self._fs.delete(status.getPath(), True)

@@ -142,6 +142,9 @@ def test_log_table(spark, tmp_path):
     assert state() == {("k1", "new")}
     with pytest.raises(ValueError):
         table.merge(table.read().select("file_id").distinct(), NOW)
+    with pytest.raises(RuntimeError):
+        table._publish([], table._version() - 1)  # a command that began before the last snapshot
+    assert state() == {("k1", "new")}
 
 
 def test_live_bytes_of_segments(spark):
