@@ -8,6 +8,10 @@ returned: as many as rows at most, never all pairs, and the components are the s
 `bucket_rows` fingerprints is cut again by the pigeonhole principle over its remaining bits, until its
 parts are small; distinct fingerprints with b free bits are at most 2**b, so this ends. No candidate is dropped.
 A dense group needs about one comparison per row, as the search drops the rows that it has reached.
+
+The pipeline's stage links texts by their similarity instead (similar_groups): the Jaccard similarity of their sets of
+five-word shingles is SIMILARITY or more. Fingerprints of such texts differ in up to WIDE bits, too many for blocks, so
+candidates share one of BANDS keys, each made of BAND_ROWS minhashes; they are verified by Hamming distance, then exactly.
 """
 
 from __future__ import annotations
@@ -29,24 +33,42 @@ BITS, BLOCKS = 64, 6
 #: Fingerprints of one key that a task compares (8 bytes each); more are cut into smaller keys.
 BUCKET_ROWS = 100_000
 SEED = 42
+#: The stage: words of a shingle, least similarity of near copies.
+STAGE_WORDS, SIMILARITY = 5, 0.8
+#: Keys per text, minhashes per key: at similarity 0.8 two texts share no key once in 300,000 pairs (1 - 0.8**4) ** 24.
+BANDS, BAND_ROWS = 24, 4
+#: Bits in which fingerprints of texts of that similarity may differ: 12 are the mean where it is greatest (4 and 5
+#: shingles), and more than 28 come once in some million pairs.
+WIDE = 28
+_XOR, _TIMES = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
+_TIMES |= np.uint64(1)
 _SET = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """The SimHash of a whole text: per bit, 1 if set in over half of the shingles' XXH64. No words: 0."""
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each shingle of a whole text; a text of fewer words is one shingle."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(parts)
+    h = xxhash.xxh64_intdigest
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([h(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[: len(parts) - words + 1].tolist()
-    h = xxhash.xxh64_intdigest
-    got = np.array([h(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], dtype=">u8")
-    raw = got.view(np.uint8).reshape(-1, 8)
+    return np.array([h(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Per bit, 1 if set in over half of the hashes."""
+    raw = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(raw[:, k], minlength=256) @ _SET for k in range(8)])
-    return int.from_bytes(np.packbits(ones * 2 > len(got)).tobytes(), "big")
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """The SimHash of a whole text: per bit, 1 if set in over half of the shingles' XXH64. No words: 0."""
+    return majority(shingles(text, words))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
@@ -182,15 +204,111 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(of, "fp", "left").select("id", "fp", "text_hash", "root", "component_id")
 
 
+def band_keys(distinct: np.ndarray) -> list[int]:
+    """The keys of a set of shingles, as signed longs; an empty set has none."""
+    if not len(distinct):
+        return []
+    least = np.concatenate([((distinct[k : k + 4096] ^ _XOR) * _TIMES).min(1)[:, None] for k in range(0, len(distinct), 4096)], axis=1).min(1)
+    rows = least.astype("<u8").reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], np.uint64).view(np.int64).tolist()
+
+
+def node_of(distinct: np.ndarray) -> int:
+    """One signed long per set of shingles (sorted)."""
+    return int(np.uint64(xxhash.xxh64_intdigest(distinct.astype("<u8").tobytes(), SEED)).view(np.int64))
+
+
+def similar_links(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links that connect what chains of similar sets connect, found as in spanning_links."""
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    parts = [token[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    marked = np.zeros(len(token), bool)
+    left, a, b = np.arange(len(nodes)), [], []
+    while len(left):
+        frontier, left = [int(left[0])], left[1:]
+        while frontier and len(left):
+            at = frontier.pop()
+            maybe = np.minimum(sizes[left], sizes[at]) >= similarity * np.maximum(sizes[left], sizes[at]) - 1e-9
+            maybe &= np.bitwise_count((fps[left] ^ fps[at]).view(np.uint64)) <= WIDE
+            marked[parts[at]] = True
+            for k in np.flatnonzero(maybe).tolist():
+                both = int(marked[parts[left[k]]].sum())
+                maybe[k] = both >= similarity * (sizes[at] + sizes[left[k]] - both) - 1e-9
+            marked[parts[at]] = False
+            reached = left[maybe]
+            a += [int(nodes[at])] * len(reached)
+            b += nodes[reached].tolist()
+            frontier += reached.tolist()
+            left = left[~maybe]
+    return a, b
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per input row: id, text_hash, root (one for all texts that chains of similar texts connect).
+
+    Words are those of near_groups. Texts of equal sets of shingles are one node; null and empty texts have the empty
+    set. Of keys that hold the same nodes one is verified. A key's sets stand in one task.
+    """
+    if similarity < SIMILARITY:
+        raise ValueError("the keys find similarities of 0.8 or more")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(t.as_py(), words)) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(map(node_of, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))], names=["id", "text_hash", "node", "keys"]
+            )
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = [np.unique(shingles(t.as_py(), words)) for t in batch.column(0)[at : at + 256]]
+                fps = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(map(node_of, sets), pa.int64()), pa.array(fps), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["node", "fp", "shingles"]
+                )
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, node, fp, shingles) with the rows of a key together; a key's rows may go on in the next batch."""
+        key, held = None, []
+
+        def found() -> pa.RecordBatch:
+            a, b = similar_links(np.array([r[0] for r in held]), np.array([r[1] for r in held]), [r[2] for r in held], similarity) if len(held) > 1 else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for own, node, fp, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != key:
+                    yield found()
+                    key, held = own, []
+                held.append((node, fp, np.frombuffer(raw, "<u8")))
+        yield found()
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = written(texts.mapInArrow(sketch, "id long, text_hash long, node long, keys array<long>"), "sketches")
+    nodes = rows.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"))
+    keyed = written(nodes.select("node", "text_hash", F.explode("keys").alias("key")), "band-keys")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("all")).where("n > 1")
+    chosen = written(shared.groupBy("n", "least", "all").agg(F.min("key").alias("key")), "shared-keys")
+    members = written(keyed.join(chosen.select("key"), "key", "left_semi"), "members")
+    wanted = texts.join(members.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    sets = written(wanted.select("text").mapInArrow(fetch, "node long, fp long, shingles binary"), "shingle-sets")
+    dealt = members.join(sets, "node").select("key", "node", "fp", "shingles").repartition("key").sortWithinPartitions("key")
+    linked = components(dealt.mapInArrow(links, "a long, b long"))
+    return rows.join(linked, "node", "left").select("id", "text_hash", F.coalesce("root", "node").alias("root"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_groups(table(spark, sf_dir, "documents"), words=4, distance=4)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id (then text_hash); a group
-    without doc_ids keeps one as well. Of rows that repeat both doc_id and text one stays."""
-    groups = written(near_groups(docs, words=4, distance=4).withColumn("rank", F.struct(F.col("id").isNull(), "id", "text_hash")), "near-groups")
+    """One document of each group of near copies (similar_groups) stays, the one with the smallest doc_id (then
+    text_hash); a group without doc_ids keeps one as well. Of rows that repeat both doc_id and text one stays."""
+    groups = written(similar_groups(docs).withColumn("rank", F.struct(F.col("id").isNull(), "id", "text_hash")), "near-groups")
     stays = written(groups.groupBy("root").agg(F.min("rank").alias("first"), F.count("*").alias("n")), "near-stays")
     ranked = groups.join(stays.where("n > 1"), "root")
     gone = ranked.where(~F.col("rank").eqNullSafe(F.col("first"))).select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
