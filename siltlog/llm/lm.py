@@ -3,14 +3,16 @@
 1. Counts of all words of the training texts, by an aggregation that starts in the tasks.
 2. Bigram counts over the most frequent words (all others are one symbol) in the same texts.
 3. Exchange clustering on the driver, on a matrix whose size is fixed: each of the frequent words moves to the
-   class where the likelihood of the class bigrams is highest, until none moves.
+   class where the likelihood of the class bigrams is highest, until none moves. Then every other word that occurs
+   CLASS_COUNT times or more goes to the class with the highest gain of the same likelihood, from the counts of its
+   neighbours' classes, which are aggregated in Spark. Class bigrams are counted again with all classes.
 4. A text's score is the sum, over its words and its end, of log10 of the smoothed class transition times the
-   word's probability in its class. Words that aren't frequent share an open class, which gives unknown words (one
+   word's probability in its class. Words that are rarer share an open class, which gives unknown words (one
    type, as in the base) the weight of the words that occur once, after Good and Turing.
 
 Counts of the words from a threshold on are sent to all tasks as a dictionary (the threshold is the lowest
 at which at most DICTIONARY_WORDS words are left); counts of the words below it, whose number grows with the
-input, are joined to the texts that have them. Both give the same exact sums.
+input, are joined with their classes to the texts that have them. Both give the same exact sums.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,10 @@ from .base import table, written
 
 #: Words whose counts tasks hold, words that are clustered, classes, rounds of exchange at most.
 DICTIONARY_WORDS, FREQUENT_WORDS, CLASSES, ROUNDS = 200_000, 1000, 48, 8
+#: Occurrences from which a word has a class.
+CLASS_COUNT = 20
+#: In a path of classes, a word whose class comes with the join.
+UNRESOLVED = 255
 #: Distinct words that a task counts before it passes its counts on.
 COUNTED_WORDS = 300_000
 #: Weight of the class's overall share in a transition probability.
@@ -172,42 +178,214 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
     return of
 
 
+def assign(table_: np.ndarray, classes: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For words (rows) with counts of their neighbours' classes, the class below `classes` of the highest gain."""
+    own = np.arange(classes)
+    rows, columns, diagonal = table_[:classes], table_[:, :classes].T, table_[own, own]
+    out, into = rows.sum(1), columns.sum(1)
+    least = [_xlogx(x) for x in (rows, columns, diagonal, out, into)]
+    best = np.empty(len(left), np.int64)
+    for k in range(0, len(left), 256):
+        x, y = left[k : k + 256], right[k : k + 256]
+        r, c = y[:, :classes], x[:, :classes]
+        gain = (_xlogx(rows + y[:, None, :]) - least[0]).sum(2) + (_xlogx(columns + x[:, None, :]) - least[1]).sum(2)
+        gain += _xlogx(diagonal + r + c) - _xlogx(diagonal + r) - _xlogx(diagonal + c) + least[2]
+        gain -= _xlogx(out + y.sum(1, keepdims=True)) - least[3] + _xlogx(into + x.sum(1, keepdims=True)) - least[4]
+        best[k : k + 256] = gain.argmax(1)
+    return best
+
+
+def word_classes(texts: DataFrame, counts: DataFrame, words: Dictionary, bigrams: np.ndarray, of: np.ndarray, least_count: int) -> DataFrame:
+    """(word, class) of the words beyond the frequent ones that occur least_count times."""
+    m = len(bigrams) - 2
+    member = np.eye(int(of.max()) + 1)[of]
+    table_, open_class, k = member.T @ bigrams @ member, int(of[m]), int(of.max()) + 1
+    sent = texts.sparkSession.sparkContext.broadcast((words.number, of, table_, int((words.counts >= least_count).sum())))
+    beyond = not words.whole and words.least > 0 and 2 ** (words.least / STEPS) + 1 > least_count
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, of, _, clustered = sent.value
+        get, none, of_number = number.get, len(number), np.full(len(number) + 1, open_class)
+        of_number[:m] = of[:m]
+        names, codes, held, rare = list(number), [], 0, {}
+
+        def flush() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.empty(0, np.int64),) * 2
+            starts = np.flatnonzero(np.diff(code // (2 * k), prepend=-1))
+            cuts = [*zip(starts.tolist(), [*starts[1:].tolist(), len(code)], strict=True)] if len(starts) else []
+            side = (code % (2 * k)).astype("<i4")
+            out = [(names[int(code[a]) // (2 * k)], side[a:b].tobytes(), n[a:b].astype("<i8").tobytes()) for a, b in cuts]
+            out += [(w, np.array(c, "<i4").tobytes(), np.ones(len(c), "<i8").tobytes()) for w, c in rare.items()]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)] or [pa.array([], pa.binary())] * 3, names=["word", "side", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                tokens = words_of(text.as_py())
+                at = np.array([get(w, none) for w in tokens], np.int64)
+                path = np.concatenate(([of[m + 1]], of_number[at], [of[m + 1]]))
+                mine = np.flatnonzero((at >= m) & (at < clustered))
+                codes += [at[mine] * 2 * k + path[mine], at[mine] * 2 * k + k + path[mine + 2]]
+                held += 2 * len(mine)
+                if beyond:
+                    for j in np.flatnonzero(at == none).tolist():
+                        rare.setdefault(tokens[j], []).extend((int(path[j]), k + int(path[j + 2])))
+                if held > 4_000_000 or len(rare) >= COUNTED_WORDS:
+                    yield flush()
+                    codes, held, rare = [], 0, {}
+        yield flush()
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with those of a word together; a word's rows may go on in the next batch."""
+        _, _, table_, _ = sent.value
+        found: dict[bytes, np.ndarray] = {}
+
+        def flush() -> pa.RecordBatch:
+            done = list(found)
+            got = np.array([found.pop(w) for w in done]).reshape(len(done), 2, k)
+            return pa.RecordBatch.from_arrays([pa.array(done, pa.binary()), pa.array(assign(table_, open_class, got[:, 0], got[:, 1]), pa.int64())], names=["word", "class"])
+
+        last = None
+        for batch in batches:
+            for word, side, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if word != last and len(found) >= 4096:
+                    yield flush()
+                if word not in found:
+                    found[word] = np.zeros(2 * k)
+                np.add.at(found[word], np.frombuffer(side, "<i4"), np.frombuffer(n, "<i8"))
+                last = word
+        yield flush()
+
+    often = counts.where(F.col("c") >= least_count).select("word")
+    dealt = texts.mapInArrow(contexts, "word binary, side binary, n binary").join(often, "word", "left_semi").repartition("word").sortWithinPartitions("word")
+    return dealt.mapInArrow(classes, "word binary, class long")
+
+
 @dataclass(frozen=True)
 class Model:
     """log10 of transitions, class by number of a dictionary word, log10 of its probability in its class, the open
-    class and that of the border, log10 of the open class's total and of the weight of unknown words in it."""
+    class and that of the border, log10 of the classes' totals, of the open class's total and of the weight of unknown
+    words in it."""
 
     transition: np.ndarray
     of: np.ndarray
     emission: np.ndarray
     open_class: int
     border: int
+    totals: np.ndarray
     open_total: float
     unknown: float
 
 
-def fit(words: Dictionary, bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> Model:
-    m = len(bigrams) - 2
-    of = exchange(bigrams, classes, rounds)
-    k = int(of.max()) + 1
-    member = np.eye(k)[of]
-    pairs = member.T @ bigrams @ member
-    share = (pairs.sum(0) + 1) / (pairs.sum() + k)
-    transition = np.log10((pairs + SMOOTHING * share) / (pairs.sum(1, keepdims=True) + SMOOTHING))
-    sums = np.bincount(of[:m], words.counts[:m], k) if m else np.zeros(k)
-    open_total = math.log10(words.n_tokens - words.n_train - int(words.counts[:m].sum()) + words.once)
-    emission = np.log10(np.maximum(words.counts, 1)) - open_total
-    emission[:m] = np.log10(words.counts[:m] / np.maximum(sums[of[:m]], 1)) if m else 0
-    number_class = np.full(len(words.counts), of[m])
-    number_class[:m] = of[:m]
-    return Model(transition, number_class, emission, int(of[m]), int(of[m + 1]), open_total, math.log10(words.once))
+def encoded(rows: DataFrame, counts: DataFrame, words: Dictionary, model: Model) -> DataFrame:
+    """(id, text, held_out) to the path of classes of each text, sums over its dictionary words, and `found`: class, count
+    and places of its other words. counts has the class of each word that has one."""
+    sent = rows.sparkSession.sparkContext.broadcast((words, model))
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("places", pa.list_(pa.int32()))]))]
+    names = ["key", "id", "held_out", "path", "known", "base", "emitted", "rare"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, model = sent.value
+        get, none = words.number.get, len(words.counts)
+        plus_one = np.append(np.log10(words.counts + 1.0), 0.0)
+        of = np.append(model.of, model.open_class if words.whole else UNRESOLVED).astype(np.uint8)
+        # other words count as unknown here; what they have beyond that is added after the join
+        emission = np.append(model.emission, model.unknown - model.open_total)
+        key = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            out: list[tuple] = []
+            for own, text, held_ in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                tokens = words_of(text.as_py())
+                at = np.array([get(w, none) for w in tokens], np.int64)
+                rare: dict[bytes, list[int]] = {}
+                for k in np.flatnonzero(at == none).tolist() if not words.whole else ():
+                    rare.setdefault(tokens[k], []).append(k)
+                out.append((key, own, held_, of[at].tobytes(), int((at < none).sum()), float(plus_one[at].sum()), float(emission[at].sum()), [{"word": w, "places": x} for w, x in rare.items()]))
+                key += 1
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    out = rows.select("id", "text", "held_out").mapInArrow(run, "key long, id long, held_out boolean, path binary, known long, base double, emitted double, rare array<struct<word:binary,places:array<int>>>")
+    if words.whole:
+        return out.drop("rare").withColumn("found", F.lit(None).cast("array<struct<class:long,c:long,places:array<int>>>"))
+    out = written(out, "encoded")
+    below = counts.where(F.floor(F.log2(F.col("c")) * STEPS + 1e-6) < words.least)
+    rare = out.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.places").join(below, "word")
+    found = rare.groupBy("key").agg(F.collect_list(F.struct("class", "c", "places")).alias("found"))
+    return out.drop("rare").join(found, "key", "left")
+
+
+def path_of(raw: bytes, found: list[dict] | None, model: Model) -> np.ndarray:
+    """The classes of a text between borders; words that the join hasn't found are unknown."""
+    path = np.frombuffer(raw, np.uint8).astype(np.int64)
+    path[path == UNRESOLVED] = model.open_class
+    for f in found or ():
+        if f["class"] is not None:
+            path[f["places"]] = f["class"]
+    return np.concatenate(([model.border], path, [model.border]))
+
+
+def class_bigrams(paths: DataFrame, model: Model) -> np.ndarray:
+    """Counts of neighbours among the classes and the border, from rows of encoded()."""
+    size = model.border + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for batch in batches:
+            for raw, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                path = path_of(raw, found, model)
+                total += np.bincount(path[:-1] * size + path[1:], minlength=size * size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
+    got = paths.select("path", "found").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # size ** 2 rows at most
+    out = np.zeros(size * size, np.int64)
+    out[got["pair"].to_numpy()] = got["n"].to_numpy()
+    return out.reshape(size, size)
 
-def train(texts: DataFrame, n_train: int, dictionary_words: int = DICTIONARY_WORDS, frequent_words: int = FREQUENT_WORDS, classes: int = CLASSES) -> tuple[DataFrame, Dictionary, Model]:
+
+def learn(
+    texts: DataFrame, n_train: int, dictionary_words: int = DICTIONARY_WORDS, frequent_words: int = FREQUENT_WORDS, classes: int = CLASSES, least_count: int = CLASS_COUNT
+) -> tuple[DataFrame, Dictionary, Model]:
+    """Counts of all words, with the class of those beyond the frequent ones that have one; dictionary; model without transitions."""
     counts = written(word_counts(texts), "word-counts")
     words = dictionary(counts, n_train, dictionary_words)
     frequent = list(words.number)[:frequent_words]
-    return counts, words, fit(words, symbol_bigrams(texts, frequent), classes)
+    m = len(frequent)
+    bigrams = symbol_bigrams(texts, frequent)
+    of = exchange(bigrams, classes)
+    open_class, border = int(of[m]), int(of[m + 1])
+    if border >= UNRESOLVED:
+        raise ValueError("a path has a byte per class")
+    if m:
+        found = word_classes(texts, counts, words, bigrams, of, least_count).withColumnRenamed("word", "of_word")
+        counts = written(
+            counts.join(found, F.col("word") == F.col("of_word"), "left").select("word", "c", F.when(F.col("c") >= least_count, F.col("class")).alias("class")), "classed-counts"
+        )
+    else:
+        counts = counts.withColumn("class", F.lit(None).cast("long"))
+    classed = counts.where("class IS NOT NULL")
+    sums = np.bincount(of[:m], words.counts[:m], border + 1) if m else np.zeros(border + 1)
+    for r in classed.groupBy("class").agg(F.sum("c").alias("c")).collect():
+        sums[r["class"]] += r.c
+    number_class = np.full(len(words.counts), open_class)
+    number_class[:m] = of[:m]
+    for r in classed.where(F.floor(F.log2(F.col("c")) * STEPS + 1e-6) >= words.least).select("word", "class").collect():  # dictionary words
+        number_class[words.number[bytes(r.word)]] = r["class"]
+    sums[open_class] = words.n_tokens - words.n_train - int(sums.sum()) + words.once
+    totals = np.log10(np.maximum(sums, 1))
+    emission = np.log10(np.maximum(words.counts, 1)) - totals[number_class]
+    return counts, words, Model(np.zeros((border + 1, border + 1)), number_class, emission, open_class, border, totals, float(totals[open_class]), math.log10(words.once))
+
+
+def with_transitions(model: Model, pairs: np.ndarray) -> Model:
+    share = (pairs.sum(0) + 1) / (pairs.sum() + len(pairs))
+    return replace(model, transition=np.log10((pairs + SMOOTHING * share) / (pairs.sum(1, keepdims=True) + SMOOTHING)))
+
+
+def train(texts: DataFrame, n_train: int, **sizes) -> tuple[DataFrame, Dictionary, Model]:
+    counts, words, model = learn(texts, n_train, **sizes)
+    rows = texts.select(F.lit(0).cast("long").alias("id"), "text", F.lit(False).alias("held_out"))
+    return counts, words, with_transitions(model, class_bigrams(encoded(rows, counts, words, model), model))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=held_out, **sizes) -> DataFrame:
@@ -217,55 +395,33 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held=
     training rows all counts are zero and the model knows the open class and the border alone. Repeated rows are
     rows like any other; an empty table gives an empty result; other columns aren't read.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     training = rows.where(~held(F.col("id")))
-    counts, words, model = train(training.select("text"), training.count(), **sizes)
-    sent = spark.sparkContext.broadcast((words, model))
-    base_total, n_tokens = math.log10(words.n_tokens + words.n_words + 1), words.n_tokens
+    counts, words, model = learn(training.select("text"), training.count(), **sizes)
+    paths = written(encoded(rows.withColumn("held_out", held(F.col("id"))), counts, words, model), "paths")
+    model = with_transitions(model, class_bigrams(paths.where("NOT held_out"), model))
+    base_total, n_train, n_tokens = math.log10(words.n_tokens + words.n_words + 1), words.n_train, words.n_tokens
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model = sent.value
-        get, none = words.number.get, len(words.counts)
-        plus_one = np.append(np.log10(words.counts + 1.0), 0.0)
-        of = np.append(model.of, model.open_class)
-        # words below the threshold count as unknown here; what they have beyond that is added after the join
-        emission = np.append(model.emission, model.unknown - model.open_total)
-        key = TaskContext.get().partitionId() << 33
         for batch in batches:
             out: list[tuple] = []
-            for own, text, held_ in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                tokens = words_of(text.as_py())
-                at = np.array([get(w, none) for w in tokens], np.int64)
-                path = np.concatenate(([model.border], of[at], [model.border]))
-                base = float(plus_one[at].sum()) + math.log10(words.n_train + 1) - (len(tokens) + 1) * base_total
-                total = float(model.transition[path[:-1], path[1:]].sum() + emission[at].sum())
-                rare = Counter(tokens[k] for k in np.flatnonzero(at == none)) if not words.whole else {}
-                known = int((at < none).sum()) + (words.n_train > 0)
-                out.append((key, own, held_, len(tokens) + 1, known, base, total, [{"word": w, "n": n} for w, n in rare.items()]))
-                key += 1
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))]
-            columns = list(zip(*out, strict=True)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
-
-    scored = rows.withColumn("held_out", held(F.col("id"))).mapInArrow(run, "key long, id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:binary,n:long>>")
-    columns = ["id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score"]
-    if words.whole:
-        return scored.select(columns)
-    scored = written(scored, "scored")
-    below = counts.where(F.floor(F.log2(F.col("c")) * STEPS + 1e-6) < words.least)
-    rare = scored.select("key", F.explode("rare").alias("r")).select("key", "r.word", "r.n")
-    more = rare.join(below, "word").groupBy("key").agg(
-        F.sum("n").alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("base"), F.sum(F.col("n") * (F.log10("c") - model.unknown)).alias("model")
-    )
-    both = scored.drop("rare").join(more, "key", "left").withColumns(
-        {
-            "n_known": F.col("n_known") + F.coalesce("known", F.lit(0)),
-            "base_score": F.col("base_score") + F.coalesce("base", F.lit(0.0)),
-            "score": F.col("score") + F.coalesce("model", F.lit(0.0)),
-        }
+            for own, held_, raw, known, base, emitted, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                path = path_of(raw, found, model)
+                for f in found or ():
+                    n, own_class = len(f["places"]), model.open_class if f["class"] is None else f["class"]
+                    known += n
+                    base += n * math.log10(f["c"] + 1)
+                    emitted += n * (math.log10(f["c"]) - model.totals[own_class] - model.unknown + model.open_total)
+                total = float(model.transition[path[:-1], path[1:]].sum()) + emitted
+                out.append((own, held_, len(raw) + 1, known + (n_train > 0), n_tokens, base + math.log10(n_train + 1) - (len(raw) + 1) * base_total, total))
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    return paths.select("id", "held_out", "path", "known", "base", "emitted", "found").mapInArrow(
+        run, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
-    return both.select(columns)
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
