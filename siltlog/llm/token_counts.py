@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .base import new_folder, table, written
-from .tokens import encoding, ranks, vocabulary
+from .tokens import encode_ranks, ranks, vocabulary
 
 #: Tokens per block: 2 MB of 16-bit ids.
 BLOCK_TOKENS = 1 << 20
@@ -33,7 +33,7 @@ def write_blocks(docs: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS, i
     kind, separator = f"<u{width_of(path)}", separator_of(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoding(path).encode_to_numpy, TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         block, held, size, ids = 0, [], 0, []
 
         def row(data: np.ndarray) -> pa.RecordBatch:
@@ -41,7 +41,7 @@ def write_blocks(docs: DataFrame, path: str, block_tokens: int = BLOCK_TOKENS, i
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                left = np.append(encode(text.as_py() or "", disallowed_special=()), separator).astype(kind)
+                left = np.append(encode_ranks(path, text.as_py() or ""), separator).astype(kind)
                 while size + len(left) > block_tokens:
                     cut = block_tokens - size
                     yield row(np.concatenate([*held, left[:cut]]))

@@ -46,6 +46,34 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Runs of white space from this many characters on are encoded apart: the rank encoder's pattern keeps a step of
+#: backtracking for each character of a run, and gives up at about a million.
+LONG_RUN = 50_000
+
+
+@functools.lru_cache(1)
+def _long_runs():
+    import regex
+
+    return regex.compile(rf"(?<!\s)\s{{{LONG_RUN},}}").finditer
+
+
+def encode_ranks(path: str, text: str):
+    """The ids of a text by the rank encoder as a uint32 array, special tokens' strings being ordinary text. A long run
+    of white space is a match of its own but for a last character that a non-space follows, which may begin the next match."""
+    import numpy as np
+
+    known, done, out = encoding(path), 0, []
+    if len(text) >= LONG_RUN:
+        for run in _long_runs()(text):
+            stop = run.end() - (run.end() < len(text))
+            out.append(known.encode_to_numpy(text[done : run.start()], disallowed_special=()))
+            out.append(np.array(known._core_bpe.encode_single_piece(text[run.start() : stop].encode()), np.uint32))
+            done = stop
+    rest = known.encode_to_numpy(text[done:] if done else text, disallowed_special=())
+    return np.concatenate([*out, rest]) if out else rest
+
+
 def encode(path: str, text: str):
     """The ids of a .json vocabulary as a uint32 array. The rank encoder gives the same ids several times faster;
     a text with a special token's string, which only the file's own library treats apart, goes to that library."""
@@ -53,4 +81,4 @@ def encode(path: str, text: str):
 
     if END_OF_TEXT in text:
         return np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, np.uint32)
-    return encoding(path).encode_to_numpy(text, disallowed_special=())
+    return encode_ranks(path, text)
