@@ -6,8 +6,8 @@ documents: each step of a best-fit over a histogram uses up either a length or a
 leaves at most three classes per length. The genetic algorithm works on these tables. Crossover injects whole
 well-filled bins of one parent into the other, removes the bins that now hold a piece twice, and puts the
 pieces that lost their bin back by best fit. Populations evolve as islands, one task each, and after each epoch
-every island takes the best packing of its neighbour. The search ends early when the number of bins equals the
-lower bound given by the total length.
+every island takes the best packing of its neighbour. Islands end early when the number of bins equals the lower
+bound given by the total length, which a first member may already do.
 
 Pieces get their places without a global sort: a piece's rank among those of its length is its rank within its
 task plus the number in earlier tasks, and a pattern covers an interval of ranks of each length.
@@ -36,6 +36,8 @@ from .tokens import encode, vocabulary
 ISLANDS, MEMBERS, EPOCHS, CROSSOVERS = 6, 4, 3, 20
 #: A bin is well filled, and may be injected, from this share of the sequence length on.
 WELL_FILLED = 0.999
+#: Rows (task, length, number of pieces before the task) that are sent to all tasks; more are joined by a sorted merge.
+SENT_BASES = 100_000
 
 #: A packing: classes of equal bins, (piece lengths in descending order, number of such bins).
 Packing = list[tuple[tuple[int, ...], int]]
@@ -142,22 +144,26 @@ def search(spark: SparkSession, lengths: dict[int, int], size: int, islands: int
         return pd.DataFrame(got, columns=["island", "member", "bins", "fitness", "genome"])
 
     def epoch(number: int):
-        def run(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-            rnd = random.Random(f"{seed}-{number}-{key[0]}")
-            population = [[(tuple(p), n) for p, n in json.loads(g)] for g in members.sort_values(["bins", "fitness", "member"])["genome"]]
-            return frame(rows(int(key[0]), evolve(population[:MEMBERS], lengths, size, rnd)))
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            members = pd.concat(list(batches) or [frame([])])  # MEMBERS + 1 rows of each island in the task
+            for island, rest in members.groupby("island"):
+                rnd = random.Random(f"{seed}-{number}-{island}")
+                population = [[(tuple(p), n) for p, n in json.loads(g)] for g in rest.sort_values(["bins", "fitness", "member"])["genome"]]
+                yield frame(rows(int(island), evolve(population[:MEMBERS], lengths, size, rnd)))
 
         return run
 
-    if bins(first := best_fit(lengths, size)) <= bound:
-        return first
-    state = written(spark.range(islands).select(F.col("id").alias("island")).repartition(islands).mapInPandas(settle, schema), "islands")
+    # dealt by the island's number, so that adaptive execution leaves each island its task
+    def alone(df: DataFrame) -> DataFrame:
+        return df.repartitionById(islands, F.col("island").cast("int"))
+
+    state = written(alone(spark.range(islands).select(F.col("id").alias("island"))).mapInPandas(settle, schema), "islands")
     for number in range(epochs):
         best = state.select("bins").agg(F.min("bins")).first()[0]
         if best <= bound:
             break
         elite = state.where("member = 0").select(((F.col("island") + 1) % islands).alias("island"), F.lit(MEMBERS).cast("long").alias("member"), "bins", "fitness", "genome")
-        state = written(state.unionByName(elite).groupBy("island").applyInPandas(epoch(number), schema), "islands")
+        state = written(alone(state.unionByName(elite)).mapInPandas(epoch(number), schema), "islands")
     top = state.orderBy("bins", "fitness", "island", "member").select("genome").first()
     return [(tuple(p), n) for p, n in json.loads(top[0])]
 
@@ -200,8 +206,9 @@ def places(packing: Packing, size: int) -> dict[int, tuple[np.ndarray, ...]]:
 def pack(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts are a document of the separator alone. Repeated rows are packed as often as they
-    occur. An empty table gives an empty result. Other columns aren't read.
+    Null and empty texts are a document of the separator alone. Long texts are cut, and runs of a million characters
+    of white space or of one letter are encoded like any other. Repeated rows are packed as often as they occur; pieces
+    of equal length may change places. An empty table gives an empty result. Other columns aren't read.
     """
     spark = docs.sparkSession
     pieces = written(cut(docs, path, size, id_col, text_col), "pieces")
@@ -225,6 +232,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", t
                 offset[mine] = start[at] + nth % each[at] * k
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
+    bases = F.broadcast(bases) if counted.count() <= SENT_BASES else bases.hint("merge")
     at = pieces.join(bases, ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("base")).alias("at"))
     return at.mapInArrow(place, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
@@ -234,4 +242,6 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places, as pack() gives them, with doc_id; nulls, long texts, repeated rows,
+    an empty table and other columns as there."""
     return pack(docs, vocabulary("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
