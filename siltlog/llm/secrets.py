@@ -3,14 +3,19 @@
 Three patterns give the base spans. The entropy scan looks at candidate strings, runs of characters of a class,
 and slides a window over each: the sum of c*log2(c) over the counts c of the characters in the window changes by
 one step for the character that enters and one for that which leaves, so no window is counted anew. Windows over
-the class's threshold that overlap make one span. Candidates on the allow-list give none, nor do those inside a
-base span. Everything is a projection: no row moves, and a text that matches nothing costs the tests only.
+the class's threshold that overlap make one span; the ends of a candidate that are too short for a window of their own go
+with the span beside them. Spans with a string on the allow-list are dropped, and those inside a base span; spans
+that only overlap one stay. Everything is a projection: no row moves, and a text that matches nothing costs the tests only.
+
+Time is in proportion to the text, however long it is and whatever is in it: positions are running sums over blocks,
+and long candidates and texts are looked at in chunks.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,47 +47,113 @@ CLASSES = (
     CharacterClass("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 24, 4.0, ("[0-9]", "[A-Z]", "[a-z]")),
     CharacterClass("hex", "0123456789ABCDEFabcdef", 24, 3.0, ("[0-9]", "[A-Fa-f]")),
 )
-#: Candidates that match one of these are no secrets: documentation samples, one character repeated, alphabets in order.
-ALLOW = (r"(?i)example", r"^(.)\1*$", r"(?i)0123456789abcdef", r"(?i)abcdefghijklmnop")
+#: Spans that match one of these are no secrets: documentation samples, alphabets in order.
+ALLOW = (r"(?i)example", r"(?i)0123456789abcdef", r"(?i)abcdefghijklmnop")
+#: Elements of a block in a running sum or maximum, and characters of a chunk (a power of two).
+BLOCK, CHUNK_BITS = 64, 10
+CHUNK = 1 << CHUNK_BITS
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(xs: Column, start: Column, join: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """For each element what join gives from start over all elements before it. Within a block the result is copied
+    for each element; blocks are joined by the same means, so that the work per element is bounded."""
+
+    def plain(part: Column, first: Column) -> Column:
+        zero = F.struct(first.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(part, zero, lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    if not levels:
+        return plain(xs, start)
+
+    def over(blocks: Column) -> Column:
+        first = running(F.transform(blocks, lambda b: F.aggregate(b, start, join)), start, join, levels - 1)
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("part"), first.alias("first")), lambda z: plain(z["part"], z["first"])))
+
+    def cut(every: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(every) - 1) / BLOCK).cast("int"))
+        return F.when(F.size(every) > 0, bound(F.transform(blocks, lambda k: F.slice(every, k * BLOCK + 1, F.lit(BLOCK))), over)).otherwise(F.expr("cast(array() as array<int>)"))
+
+    return bound(xs, cut)
+
+
+def running_sum(xs: Column) -> Column:
+    return running(xs, F.lit(0), lambda a, x: a + x)
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """All non-overlapping matches from the left as structs (start, end, size): code points, and the group's length."""
+def running_max(xs: Column) -> Column:
+    return running(xs, F.lit(-1), lambda a, x: F.greatest(a, x))
+
+
+def chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def cut_out(parts: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end (exclusive) of the text that the chunks make; walks through their chunks only."""
+    first, last = F.shiftright(start, CHUNK_BITS), F.shiftright(end - 1, CHUNK_BITS)
+
+    def within(part: Column, k: Column) -> Column:
+        at = F.shiftleft(first + k, CHUNK_BITS)
+        a = F.greatest(start - at, F.lit(0))
+        return F.substring(part, a + 1, F.least(end - at, F.lit(CHUNK)) - a)
+
+    return F.when(end > start, F.array_join(F.transform(F.slice(parts, first + 1, last - first + 1), within), "")).otherwise(F.lit(""))
+
+
+def matches(text: Column, pattern: str, group: int = 0, strings: bool = False) -> Column:
+    """All non-overlapping matches from the left as structs (start, end, size): code points, and the group's length;
+    on request also the matches themselves (s)."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sizes = F.transform(found if not group else F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length)
-    step = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(found, F.length).alias("long"), sizes.alias("size"))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,size:int>>)")
-    start = lambda acc, x: acc["at"] + x["gap"]
-    out = F.aggregate(
-        step,
-        F.struct(F.lit(0).alias("at"), none.alias("spans")),
-        lambda acc, x: F.struct(
-            (start(acc, x) + F.coalesce(x["long"], F.lit(0))).alias("at"),
-            F.when(x["long"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(F.struct(start(acc, x).alias("start"), (start(acc, x) + x["long"]).alias("end"), x["size"].alias("size"))))).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return F.when(text.rlike(pattern), out).otherwise(none)
+    kinds = "start:int,end:int,size:int" + ",s:string" * strings
+
+    def placed(steps: Column) -> Column:
+        before = running_sum(F.transform(steps, lambda x: x["gap"] + F.coalesce(x["long"], F.lit(0))))
+
+        def span(z: Column) -> Column:
+            start, x = z["before"] + z["step"]["gap"], z["step"]
+            return F.struct(start.alias("start"), (start + x["long"]).alias("end"), x["size"].alias("size"), *([x["s"].alias("s")] if strings else []))
 
+        return F.filter(F.transform(F.arrays_zip(steps.alias("step"), before.alias("before")), span), lambda m: m["end"].isNotNull())
 
-def windows_over(candidate: Column, kind: CharacterClass) -> Column:
-    """Spans (start, end) in the candidate whose windows reach the class's entropy, overlapping ones merged."""
+    steps = [F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(found, F.length).alias("long"), sizes.alias("size")]
+    out = bound(F.arrays_zip(*steps, *([found.alias("s")] if strings else [])), placed)
+    return F.when(text.rlike(pattern), out).otherwise(F.expr(f"cast(array() as array<struct<{kinds}>>)"))
+
+
+def _windows(chunk: Column, kind: CharacterClass) -> Column:
+    """Spans (start, end) in a chunk whose windows reach the class's entropy, those that meet merged."""
     w, alphabet = kind.window, kind.characters
     c_log_c = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(w + 2)])
     limit = w * (math.log2(w) - kind.bits) + 1e-9  # entropy = log2(w) - total / w
-    at = F.transform(F.sequence(F.lit(1), F.length(candidate)), lambda k: F.instr(F.lit(alphabet), F.substring(candidate, k, F.lit(1))) - 1)
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
 
-    def slide(codes: Column):
+    def step(ch: Column, k: Column) -> Column:
+        """A character's place in the counts: eight of a byte each in a long."""
+        code = F.instr(F.lit(alphabet), ch) - 1
+        return F.struct(k.alias("k"), code.alias("code"), F.shiftright(code, 3).alias("word"), (code.bitwiseAND(7) * 8).alias("shift"))
+
+    def count(counts: Column, x: Column) -> Column:
+        return F.call_function("shiftright", F.get(counts, x["word"]), x["shift"]).bitwiseAND(255).cast("int")
+
+    def unit(x: Column, word: Column) -> Column:
+        return F.when(x["word"] == word, F.call_function("shiftleft", F.lit(1).cast("long"), x["shift"])).otherwise(F.lit(0).cast("long"))
+
+    def slide(steps: Column):
         def run(acc: Column, x: Column) -> Column:
-            leaves = F.when(x["k"] >= w, F.get(codes, x["k"] - w)).otherwise(F.lit(-1))
-            enters = x["code"]
-            had = F.get(acc["counts"], enters)
+            leaves = F.get(steps, x["k"] - w)  # null for the first window's characters
+            full = x["k"] >= w
+            had, lost = count(acc["counts"], x), F.coalesce(count(acc["counts"], leaves), F.lit(1))
+            enters = F.get(c_log_c, had + 1) - F.get(c_log_c, had)
+            left = F.when(full, F.get(c_log_c, lost - 1) - F.get(c_log_c, lost)).otherwise(F.lit(0.0))
             # when the same character enters and leaves nothing changes
-            lost = F.when(leaves >= 0, F.get(acc["counts"], leaves)).otherwise(F.lit(0))
-            step = F.when(leaves == enters, F.lit(0.0)).otherwise(F.get(c_log_c, had + 1) - F.get(c_log_c, had) + F.when(leaves >= 0, F.get(c_log_c, lost - 1) - F.get(c_log_c, lost)).otherwise(F.lit(0.0)))
-            total = acc["total"] + step
-            counts = F.transform(acc["counts"], lambda c, i: c + F.when(i == enters, 1).otherwise(0) - F.when(i == leaves, 1).otherwise(0))
+            total = acc["total"] + F.when(full & (leaves["code"] == x["code"]), F.lit(0.0)).otherwise(enters + left)
+            counts = F.transform(acc["counts"], lambda c, i: c + unit(x, i) - unit(leaves, i))
             start, end = x["k"] - (w - 1), x["k"] + 1
             last = F.try_element_at(acc["spans"], F.lit(-1))
             merged = F.concat(F.slice(acc["spans"], F.lit(1), F.size(acc["spans"]) - 1), F.array(F.struct(last["start"].alias("start"), end.alias("end"))))
@@ -92,17 +163,46 @@ def windows_over(candidate: Column, kind: CharacterClass) -> Column:
 
         return run
 
-    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("total"), none.alias("spans"))
-    # the codes are bound once, so that each step can look back without computing them again
-    bound = F.transform(F.array(at), lambda codes: F.aggregate(F.transform(codes, lambda code, k: F.struct(code.alias("code"), k.alias("k"))), zero, slide(codes), lambda acc: acc["spans"]))
-    return F.get(bound, F.lit(0))
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(alphabet) // 8)).alias("counts"), F.lit(0.0).alias("total"), none.alias("spans"))
+    return bound(F.transform(F.split(chunk, ""), step), lambda steps: F.aggregate(steps, zero, slide(steps), lambda acc: acc["spans"]))
+
+
+def _joined(spans: Column) -> Column:
+    """Spans in order of start and end, those that meet merged."""
+
+    def join(every: Column) -> Column:
+        first = F.filter(every, lambda x, k: F.coalesce(F.get(every, k - 1)["end"] < x["start"], F.lit(True)))
+        last = F.filter(every, lambda x, k: F.coalesce(x["end"] < F.get(every, k + 1)["start"], F.lit(True)))
+        return F.transform(F.arrays_zip(first.alias("a"), last.alias("b")), lambda z: F.struct(z["a"]["start"].alias("start"), z["b"]["end"].alias("end")))
+
+    return bound(spans, join)
+
+
+def windows_over(candidate: Column, kind: CharacterClass, allow: tuple[str, ...] = ALLOW) -> Column:
+    """Spans (start, end) in the candidate. It is cut into chunks; each begins all windows that start in it."""
+    w, n = kind.window, F.length(candidate)
+
+    def scan(parts: Column) -> Column:
+        def of(part: Column, k: Column) -> Column:
+            chunk = F.concat(part, F.substring(F.coalesce(F.get(parts, k + 1), F.lit("")), F.lit(1), F.lit(w - 1)))
+            return F.transform(_windows(chunk, kind), lambda s: F.struct((s["start"] + k * CHUNK).alias("start"), (s["end"] + k * CHUNK).alias("end")))
+
+        def widened(s: Column) -> Column:
+            return F.struct(F.when(s["start"] < w, 0).otherwise(s["start"]).alias("start"), F.when(n - s["end"] < w, n).otherwise(s["end"]).alias("end"))
+
+        def allowed(s: Column) -> Column:
+            return bound(cut_out(parts, s["start"], s["end"]), lambda said: functools.reduce(lambda a, b: a | b, [said.rlike(p) for p in allow], F.lit(False)))
+
+        spans = F.transform(_joined(F.flatten(F.transform(parts, of))), widened)
+        return F.filter(spans, lambda s: ~allowed(s)) if allow else spans
+
+    return bound(chunks(candidate), scan)
 
 
 def entropy_spans(text: Column, kind: CharacterClass, allow: tuple[str, ...] = ALLOW) -> Column:
     pattern = f"[{kind.characters}]{{{kind.window},}}"
-    cut = F.transform(matches(text, pattern), lambda m: F.struct(m["start"].alias("start"), F.substring(text, m["start"] + 1, m["end"] - m["start"]).alias("s")))
-    kept = F.filter(cut, lambda c: functools.reduce(lambda a, b: a & b, [*(c["s"].rlike(p) for p in kind.mixed), *(~c["s"].rlike(p) for p in allow)]))
-    spans = F.transform(kept, lambda c: F.transform(windows_over(c["s"], kind), lambda s: F.struct((c["start"] + s["start"]).alias("start"), (c["start"] + s["end"]).alias("end"))))
+    kept = F.filter(matches(text, pattern, strings=True), lambda c: functools.reduce(lambda a, b: a & b, [c["s"].rlike(p) for p in kind.mixed]))
+    spans = F.transform(kept, lambda c: F.transform(windows_over(c["s"], kind, allow), lambda s: F.struct((c["start"] + s["start"]).alias("start"), (c["start"] + s["end"]).alias("end"))))
     return F.when(text.rlike(pattern), F.flatten(spans)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int>>)"))
 
 
@@ -117,21 +217,28 @@ def _named(number: int, kind: str):
 def with_spans(df: DataFrame, classes: tuple[CharacterClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """df, which has a column text without nulls, with n_<kind> of the base kinds, base and added."""
     columns, text = df.columns, F.col("text")
-    for k, (name, pattern, group, least) in enumerate(BASE):
-        df = df.withColumn(name, F.transform(F.filter(matches(text, pattern, group), _at_least(least)), _named(k, name)))
-    df = df.withColumn("base", F.array_sort(F.concat(*[F.col(name) for name, *_ in BASE])))
-    for k, kind in enumerate(classes):
-        free = F.filter(entropy_spans(text, kind, allow), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        df = df.withColumn(f"entropy_{k}", F.transform(free, _named(len(BASE) + k, f"entropy_{kind.name}")))
-    added = F.array_sort(F.concat(*[F.col(f"entropy_{k}") for k in range(len(classes))])) if classes else F.slice("base", 1, 0)
-    return df.withColumn("added", added).select(*columns, *[F.size(name).cast("long").alias(f"n_{name}") for name, *_ in BASE], "base", "added")
+    found = {name: F.transform(F.filter(matches(text, pattern, group), _at_least(least)), _named(k, name)) for k, (name, pattern, group, least) in enumerate(BASE)}
+    found |= {f"entropy_{k}": F.transform(entropy_spans(text, kind, allow), _named(len(BASE) + k, f"entropy_{kind.name}")) for k, kind in enumerate(classes)}
+    df = df.withColumns(found)
+    given, own = [F.col(name) for name, *_ in BASE], [F.col(f"entropy_{k}") for k in range(len(classes))]
+
+    def outside(every: Column) -> Column:
+        """Spans in order without the added ones that lie inside a base span, which comes before them."""
+        is_base = lambda s: s["kind_no"] < len(BASE)
+        covered = running_max(F.transform(every, lambda s: F.when(is_base(s), s["end"]).otherwise(-1)))
+        kept = F.filter(F.arrays_zip(every.alias("s"), covered.alias("covered")), lambda z: ~is_base(z["s"]) & (z["covered"] < z["s"]["end"]))
+        return F.transform(kept, lambda z: z["s"])
+
+    added = F.when(functools.reduce(lambda a, b: a + b, [F.size(c) for c in own], F.lit(0)) > 0, bound(F.array_sort(F.concat(*given, *own)), outside)).otherwise(F.slice(given[0], 1, 0))
+    df = df.withColumns({"base": F.array_sort(F.concat(*given)), "added": added})
+    return df.select(*columns, *[F.size(name).cast("long").alias(f"n_{name}") for name, *_ in BASE], "base", "added")
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: tuple[CharacterClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """One row per input row: id, text, n_<kind>, base and added, arrays of (start, kind_no, end, kind) in that order.
 
-    Positions are code points, ends exclusive. Null and empty texts have no spans; repeated rows are rows like any
-    other; an empty table gives an empty result; other columns aren't read.
+    Positions are code points, ends exclusive. Null and empty texts have no spans; very long texts take time in proportion
+    to their length; repeated rows are rows like any other; an empty table gives an empty result; other columns aren't read.
     """
     return with_spans(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), classes, allow)
 
@@ -149,25 +256,30 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted(text: Column, found: Column, mark: str = "<secret>") -> Column:
-    """The text with each span replaced by the mark; overlapping spans share one."""
-    done = F.aggregate(
-        found,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(found) > 0, done).otherwise(text)
+    """The text with each span (in order of start) replaced by the mark; overlapping spans share one."""
+
+    def done(every: Column) -> Column:
+        before = running_max(F.transform(every, lambda s: s["end"]))  # -1 for the first
+        apart = F.filter(F.arrays_zip(every.alias("s"), before.alias("before")), lambda z: z["s"]["start"] >= z["before"])
+        last = F.array_max(F.transform(every, lambda s: s["end"]))
+        between = lambda parts: F.transform(apart, lambda z: F.concat(cut_out(parts, F.greatest(z["before"], F.lit(0)), z["s"]["start"]), F.lit(mark)))
+        return bound(chunks(text), lambda parts: F.concat(F.array_join(between(parts), ""), cut_out(parts, last, F.length(text))))
+
+    return F.when(F.size(found) > 0, bound(found, done)).otherwise(text)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in their texts are replaced, and n_chars follows. Null texts stay null."""
+    """All documents stay; secrets in their texts are replaced, and n_chars, if there is such a column, follows.
+
+    Null texts stay null, empty ones empty; very long texts take time in proportion to their length; repeated rows are rows
+    like any other; an empty table gives an empty result; other columns, whatever their names, pass through.
+    """
     found = with_spans(docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text")))
     found = found.withColumn("clean", redacted(F.col("text"), F.array_sort(F.concat("base", "added"))))
     hit = (F.size("base") + F.size("added")) > 0
-    new = {"text": F.when(hit, F.col("clean")).otherwise(F.col("row.text")), "n_chars": F.when(hit, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))}
+    new = {"text": F.when(hit, F.col("clean")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(hit, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))
     return found.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
@@ -182,7 +294,7 @@ def oracle() -> str:
     )
     n = len(BASE) + len(CLASSES)
     mixed = " OR ".join(f"(kind = 'entropy_{c.name}' AND " + " AND ".join(f"regexp_matches(s, '{p}')" for p in c.mixed) + ")" for c in CLASSES)
-    allowed = " OR ".join(f"regexp_matches(s, '{p}')" for p in ALLOW if "\\" not in p)
+    allowed = " OR ".join(f"regexp_matches(s, '{p}')" for p in ALLOW)
     width = " ".join(f"WHEN 'entropy_{c.name}' THEN {c.window}" for c in CLASSES)
     bits = " ".join(f"WHEN 'entropy_{c.name}' THEN {c.bits}" for c in CLASSES)
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
@@ -193,13 +305,16 @@ m AS (SELECT rid, kind_no, kind, ms[i] AS s, length(gs[i]) AS size, least,
 base AS (SELECT rid, kind_no, kind, start, start + length(s) AS stop FROM m WHERE kind_no < {len(BASE)} AND size >= least),
 c AS (SELECT *, CASE kind {width} END AS w, CASE kind {bits} END AS bits FROM m
       WHERE kind_no >= {len(BASE)} AND ({mixed}) AND NOT ({allowed} OR len(list_distinct(string_split(s, ''))) = 1)),
-win AS (SELECT rid, kind_no, kind, start, w, k FROM (SELECT *, unnest(range(0, length(s) - w + 1)) AS k FROM c)
+win AS (SELECT rid, kind_no, kind, start, w, s AS run, k FROM (SELECT *, unnest(range(0, length(s) - w + 1)) AS k FROM c)
         WHERE list_aggregate(string_split(substr(s, k + 1, w), ''), 'entropy') >= bits - 4e-11),
 isl AS (SELECT *, sum(CASE WHEN k - prev <= w THEN 0 ELSE 1 END) OVER (PARTITION BY rid, kind_no, start ORDER BY k) AS island
         FROM (SELECT *, lag(k) OVER (PARTITION BY rid, kind_no, start ORDER BY k) AS prev FROM win)),
-added AS (SELECT rid, kind_no, kind, start + min(k) AS a, start + max(k) + any_value(w) AS stop FROM isl GROUP BY rid, kind_no, kind, start, island),
+ends AS (SELECT rid, kind_no, kind, start, any_value(run) AS run, CASE WHEN min(k) < any_value(w) THEN 0 ELSE min(k) END AS k0,
+           CASE WHEN length(any_value(run)) - max(k) - any_value(w) < any_value(w) THEN length(any_value(run)) ELSE max(k) + any_value(w) END AS k1
+         FROM isl GROUP BY rid, kind_no, kind, start, island),
+added AS (SELECT rid, kind_no, kind, start + k0 AS a, start + k1 AS stop FROM (SELECT *, substr(run, k0 + 1, k1 - k0) AS s FROM ends) WHERE NOT ({allowed})),
 found AS (SELECT rid, kind_no, kind, start, stop FROM base
-          UNION ALL SELECT rid, kind_no, kind, a, stop FROM added x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = x.rid AND b.start < x.stop AND x.a < b.stop)),
+          UNION ALL SELECT rid, kind_no, kind, a, stop FROM added x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = x.rid AND b.start <= x.a AND x.stop <= b.stop)),
 texts AS (SELECT *, kind || ':' || CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR) AS said FROM found),
 docs AS (SELECT rid, count(*) FILTER (kind_no = 0) AS n0, count(*) FILTER (kind_no = 1) AS n1, count(*) FILTER (kind_no = 2) AS n2,
            string_agg(said, ',' ORDER BY start, kind_no, stop) FILTER (kind_no < {len(BASE)}) AS base_said, string_agg(said, ',' ORDER BY start, kind_no, stop) AS spans FROM texts GROUP BY rid)

@@ -302,6 +302,33 @@ def test_genetic_operators():
         assert packing.bins(packing.evolve([mother, father, child, father], lengths, 100, rnd)[0]) <= before
 
 
+LONG_RUNS = [" " * 1_500_000 + "x", "x" + "\n" * 1_500_000, "a" * 1_000_000, "y " * 10 + " \n" * 300_000 + " z"]
+
+
+def test_long_runs(spark):
+    """Runs beyond the rank encoder's backtracking, against the library of the .json file."""
+    reader = tokens.tokenizer(JSON)
+    for text in LONG_RUNS:
+        assert tokens.encode(JSON, text).tolist() == reader.encode(text, add_special_tokens=False).ids
+    docs = docs_of(spark, list(enumerate(LONG_RUNS)))
+    want = {k: len(reader.encode(t, add_special_tokens=False).ids) for k, t in enumerate(LONG_RUNS)}
+    for got in (packing.pack(docs, JSON), packing.stage(spark, docs, "").withColumnRenamed("doc_id", "id")):
+        total = {r.id: r.n for r in got.groupBy("id").agg(F.sum("length").alias("n")).collect()}
+        assert total == {k: n + 1 for k, n in want.items()}
+    blocks = token_counts.write_blocks(docs, tokens.vocabulary("byte_bpe_50k.tiktoken"))
+    assert sorted(r.n_tokens for r in token_counts.count_tokens(blocks, 50256, 2).collect()) == sorted(want.values())
+
+
+def test_pattern_of_long_runs(monkeypatch):
+    monkeypatch.setattr(tokens, "LONG_RUN", 4)
+    tokens._long_runs.cache_clear()
+    rnd, path = random.Random(3), tokens.vocabulary("byte_bpe_50k.tiktoken")
+    for _ in range(2000):
+        text = "".join(rnd.choice([" ", "  ", "\n", "a", "b1", "'s", ".", "\x1c", "\xa0", "é", " " * 6]) for _ in range(rnd.randrange(25)))
+        assert tokens.encode_ranks(path, text).tolist() == tokens.encoding(path).encode_ordinary(text)
+    tokens._long_runs.cache_clear()
+
+
 def test_islands(spark):
     lengths = {51: 7, 27: 9, 26: 9, 23: 12, 45: 5, 34: 8, 21: 3}  # best fit isn't at the lower bound
     found = packing.search(spark, lengths, 100, islands=2, epochs=2)
@@ -337,7 +364,7 @@ def brute_entropy(text, base):
     for kind in secrets.CLASSES:
         for m in re.finditer(f"[{kind.characters}]{{{kind.window},}}", text or ""):
             s = m[0]
-            if not all(re.search(p, s) for p in kind.mixed) or any(re.search(p, s) for p in secrets.ALLOW):
+            if not all(re.search(p, s) for p in kind.mixed):
                 continue
             spans = []
             for k in range(len(s) - kind.window + 1):
@@ -346,7 +373,10 @@ def brute_entropy(text, base):
                         spans[-1][1] = k + kind.window
                     else:
                         spans.append([k, k + kind.window])
-            out += [(f"entropy_{kind.name}", m.start() + a, m.start() + b) for a, b in spans if not any(x < m.start() + b and m.start() + a < y for _, x, y in base)]
+            w, n = kind.window, len(s)
+            spans = [(0 if a < w else a, n if n - b < w else b) for a, b in spans]
+            spans = [(a, b) for a, b in spans if not any(re.search(p, s[a:b]) for p in secrets.ALLOW)]
+            out += [(f"entropy_{kind.name}", m.start() + a, m.start() + b) for a, b in spans if not any(x <= m.start() + a and m.start() + b <= y for _, x, y in base)]
     return out
 
 
@@ -385,10 +415,50 @@ def test_secrets_equal_sql(spark, tmp_path):
     assert sum("entropy" in r.spans for r in got) > 3
 
 
+def test_secrets_in_chunks(spark, monkeypatch):
+    """Small blocks and chunks give what large ones give."""
+    rnd = random.Random(10)
+    texts = ["".join(rnd.choice("0123456789abcdefABCDEFxyzXYZé +/") for _ in range(400)) for _ in range(20)]
+    texts += [" ".join([f"token={k}abcdefgh 8f14e45fceea167a5a36dedd4bea{k:04d}" for k in range(70)]), "Qm9vYmFyMTIz" * 20 + "a" * 90 + "Zx9Kq2LmP0aRtY7uVbN3cWdE8fGhJ1sQ4" * 4]
+    docs = docs_of(spark, list(enumerate(texts)))
+    want = [tuple(r) for r in secrets.spans(docs).orderBy("id").collect()], [r.text for r in secrets.stage(spark, docs, "").orderBy("doc_id").collect()]
+    monkeypatch.setattr(secrets, "CHUNK_BITS", 5)
+    monkeypatch.setattr(secrets, "CHUNK", 32)
+    monkeypatch.setattr(secrets, "BLOCK", 3)
+    assert ([tuple(r) for r in secrets.spans(docs).orderBy("id").collect()], [r.text for r in secrets.stage(spark, docs, "").orderBy("doc_id").collect()]) == want
+    for k, t in enumerate(texts):
+        assert [(s.kind, s.start, s.end) for s in want[0][k][-2]] == brute_base(t)
+        assert sorted((s.kind, s.start, s.end) for s in want[0][k][-1]) == sorted(brute_entropy(t, brute_base(t)))
+
+
+def test_secrets_that_overlap(spark):
+    """What an entropy span has beyond a base span goes too, and so does the end of a candidate."""
+    rnd = random.Random(11)
+    some = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(120))
+    texts = [some[:60] + "8f14e45fceea167a5a36dedd4bea2543" + some[60:], some, "AKIA" + "Q7" * 8 + "/" + some[:40]]
+    out = [r.text for r in secrets.stage(spark, docs_of(spark, list(enumerate(f"a {t} b" for t in texts))), "").orderBy("doc_id").collect()]
+    assert out == ["a <secret> b"] * 3
+
+
+def test_secrets_of_long_texts_take_time_in_proportion(spark):
+    """A text of 8 times the hashes takes far less than 64 times as long."""
+    import time
+
+    def took(n):
+        text = " ".join(hashlib.md5(str(k).encode()).hexdigest() for k in range(n))
+        began = time.perf_counter()
+        assert secrets.stage(spark, docs_of(spark, [(1, text)]), "").first().text == " ".join(["<secret>"] * n)
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(50_000) < max(60, 16 * took(6000))
+
+
 def test_secret_stage(spark):
     docs = docs_of(spark, [(1, "a password=abcdefgh1 b"), (2, None), (3, "plain")])
     out = {r.doc_id: r for r in secrets.stage(spark, docs, "").collect()}
     assert (out[1].text, out[1].n_chars, out[2].text, out[3].text) == ("a <secret> b", 12, None, "plain")
+    assert secrets.stage(spark, docs.drop("n_chars"), "").columns == docs.drop("n_chars").columns
     assert secrets.stage(spark, docs, "").columns == docs.columns
 
 
