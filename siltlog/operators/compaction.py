@@ -62,18 +62,20 @@ def survivors(log: DataFrame, sources: DataFrame, now: int = NOW) -> DataFrame:
 
     Committed entries that are the last of their key survive unless deleted or expired. Those two are kept as well
     while an older committed entry of the key lies outside the sources: dropping them would bring that one back.
-    Markers that delete a bucket stay, and what they delete goes.
+    Markers that delete a bucket stay, and what they delete goes. Of other files only keys and places are read.
     """
-    files = sources.select("file_id").distinct().withColumn("_merged", F.lit(True))
+    files = sources.select("file_id").distinct()
     done = committed_log(log)
-    entries = without_deleted_buckets(done).join(files, "file_id", "left")
-    # one row per key and task: the last entry, and whether any lies outside
-    row = F.max_by(F.struct(*log.columns, "_merged"), F.struct(*ORDER)).alias("last")
-    by_key = entries.groupBy(*[F.col(k).alias(f"_{k}") for k in BY_KEY]).agg(row, (F.count_if(F.col("_merged").isNull()) > 0).alias("_outside"))
-    last = by_key.where("last._merged").select("last.*", "_outside")
+    entries = without_deleted_buckets(done)
+    # one row per key and task: the last entry inside, the last place outside
+    by_key = [F.col(k).alias(f"_{k}") for k in BY_KEY]
+    last = entries.join(files, "file_id", "left_semi").groupBy(*by_key).agg(F.max_by(F.struct(*log.columns), F.struct(*ORDER)).alias("last"))
+    outside = entries.join(files, "file_id", "left_anti").groupBy(*by_key).agg(F.max(F.struct(*ORDER)).alias("_outside"))
+    last = last.join(outside, [f"_{k}" for k in BY_KEY], "left").select("last.*", "_outside")
+    newest = F.col("_outside").isNull() | (F.col("_outside") < F.struct(*ORDER))
     dead = (F.col("flag") == DELETE) | is_expired(now)
     marks = done.where((F.col("ds") == MARKER) & (F.col("flag") == BUCKET_DELETE)).join(files, "file_id", "left_semi")
-    return last.where(~dead | F.col("_outside")).select(log.columns).unionByName(marks.select(log.columns))
+    return last.where(newest & (~dead | F.col("_outside").isNotNull())).select(log.columns).unionByName(marks.select(log.columns))
 
 
 def merge_bytes(log: DataFrame, sources: DataFrame, now: int = NOW) -> DataFrame:
@@ -83,17 +85,53 @@ def merge_bytes(log: DataFrame, sources: DataFrame, now: int = NOW) -> DataFrame
     return read.join(wrote)  # one row each
 
 
+def renumbered(entries: DataFrame) -> DataFrame:
+    """Positions that only keep the order of (file_id, pos): the number of a range of places, then the row within it. They
+    don't grow with the number of merges that an entry has been through."""
+    return entries.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).withColumn("pos", F.monotonically_increasing_id())
+
+
+def merged_files(log: DataFrame, sources: DataFrame, now: int = NOW) -> DataFrame:
+    """What a merge writes. sources: (file_id, target); survivors of a file go to its target, in a committed transaction."""
+    moved = renumbered(survivors(log, sources, now)).join(sources.select("file_id", "target").distinct(), "file_id")
+    return moved.select(*[F.col("target").cast("long").alias(c) if c == "file_id" else F.lit(1).alias(c) if c == "status" else (-1 - F.col("target")).cast("long").alias(c) if c == "tx_id" else c for c in log.columns])
+
+
+def late_marks(log: DataFrame, sources: DataFrame) -> DataFrame:
+    """tx_id of transactions that have their marker in a source file and entries without one elsewhere."""
+    files = sources.select("file_id").distinct()
+    inside = log.where("status = 1").join(files, "file_id", "left_semi").select("tx_id").distinct()
+    return inside.join(log.join(files, "file_id", "left_anti").where("status <> 1").select("tx_id"), "tx_id", "left_semi")
+
+
+def with_marks(log: DataFrame, marks: DataFrame) -> DataFrame:
+    """The log with a commit marker for each entry of the given transactions."""
+    found = marks.select("tx_id", F.lit(1).alias("_marked")).distinct()
+    return log.join(found, "tx_id", "left").withColumn("status", F.coalesce("_marked", "status")).select(log.columns)
+
+
 def merged_log(log: DataFrame, sources: DataFrame, file_id: int, now: int = NOW) -> DataFrame:
     """The log after the merge: the other files, and the survivors in a new file in a committed transaction.
 
     Entries in other files whose transaction has its marker in a merged file get a marker of their own.
     """
     files = sources.select("file_id").distinct()
-    marked = log.where("status = 1").join(files, "file_id", "left_semi").select("tx_id", F.lit(1).alias("_marked")).distinct()
-    rest = log.join(files, "file_id", "left_anti").join(marked, "tx_id", "left").withColumn("status", F.coalesce("_marked", "status")).select(log.columns)
-    # survivors keep their order: the old file and position make the position in the new file
-    moved = survivors(log, sources, now).withColumns({"pos": F.col("file_id") * (1 << 32) + F.col("pos"), "status": F.lit(1), "tx_id": F.lit(-1 - file_id).cast("long")})
-    return rest.unionByName(moved.withColumn("file_id", F.lit(file_id).cast("long")).select(log.columns))
+    rest = with_marks(log.join(files, "file_id", "left_anti"), late_marks(log, files))
+    return rest.select(log.columns).unionByName(merged_files(log, files.withColumn("target", F.lit(file_id).cast("long")), now))
+
+
+def run_targets(files: list[int], chosen: set[int]) -> list[tuple[int, int]]:
+    """(file, target) for runs of chosen files, next to each other in the order of files: the target of a run is its newest
+    file. A run of one file is left as it is."""
+    out, run = [], []
+    for file_id in [*sorted(files), None]:
+        if file_id in chosen:
+            run.append(file_id)
+            continue
+        if len(run) > 1:
+            out += [(f, run[-1]) for f in run]
+        run = []
+    return out
 
 
 def analyze_workload(ops: DataFrame, rewrite_bytes: int, physical_bytes: int) -> DataFrame:

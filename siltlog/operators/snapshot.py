@@ -7,7 +7,7 @@ predicates may be pushed below the choice of the last entry, visibility may not.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -65,10 +65,24 @@ def expired(indexed: DataFrame, now: int = NOW) -> DataFrame:
     return indexed.where((F.col("flag") != DELETE) & is_expired(now))
 
 
+def last_places(log: DataFrame, value: Column) -> DataFrame:
+    """(bucket, key, place, last): where the last committed entry of each key stands, and a value of that entry. Tasks pass
+    on one row per key, and one per bucket that has a marker; what came before a bucket's last marker is out."""
+    place = F.struct(*ORDER)
+    marker = (F.col("ds") == MARKER) & (F.col("flag") == BUCKET_DELETE)
+    entries = committed_log(log)
+    by_key = entries.groupBy("bucket", F.when(~marker, F.col("key")).alias("key"), marker.alias("_marker")).agg(F.max(place).alias("place"), F.max_by(value, place).alias("last"))
+    marks = by_key.where("_marker").select("bucket", F.col("place").alias("_mark"))
+    kept = by_key.where("NOT _marker").join(marks, "bucket", "left")
+    return kept.where(F.col("_mark").isNull() | (F.col("place") > F.col("_mark"))).select("bucket", "key", "place", "last")
+
+
 def key_counts(log: DataFrame, now: int = NOW) -> DataFrame:
-    """Per bucket: replayed records, keys in the index, visible keys. Tasks pass on one row per key, hot or not."""
+    """Per bucket: replayed records, keys in the index, visible keys. Tasks pass on one row per key, hot or not. Records
+    that a bucket delete has hidden, and the markers, aren't counted."""
+    entries = without_deleted_buckets(committed_log(log))
     last = F.max_by(F.struct("flag", "ttl", "ts"), F.struct(*ORDER)).alias("last")
-    by_key = committed_log(log).groupBy(*BY_KEY).agg(F.count("*").alias("records"), last)
+    by_key = entries.groupBy(*BY_KEY).agg(F.count("*").alias("records"), last)
     return by_key.groupBy("bucket").agg(F.sum("records").alias("records"), F.count("*").alias("index_keys"), F.count_if(is_visible(now, "last.flag", "last.ttl", "last.ts")).alias("live_keys"))
 
 
@@ -77,11 +91,12 @@ def key_range(indexed: DataFrame) -> DataFrame:
 
 
 def valid_key_counter(log: DataFrame) -> DataFrame:
-    """The counter an index keeps while it replays: a new key adds one even if deleted, later changes of state count."""
-    before = Window.partitionBy(*BY_KEY).orderBy(*ORDER)
-    steps = committed_log(log).select("bucket", "key", "flag", *ORDER).withColumn("was", F.lag("flag").over(before))
-    change = F.when(F.col("was").isNull(), 1).when((F.col("was") != DELETE) & (F.col("flag") == DELETE), -1).when((F.col("was") == DELETE) & (F.col("flag") != DELETE), 1).otherwise(0)
-    return steps.groupBy("bucket").agg(F.sum(change).alias("valid_keys"))
+    """The counter an index keeps while it replays: a new key adds one even if deleted, later changes of state count.
+    Per key these add up to one, plus the last state, less the first; a bucket delete starts anew. Both states are
+    aggregated in the tasks."""
+    place, live = F.struct(*ORDER), (F.col("flag") != DELETE).cast("long")
+    by_key = without_deleted_buckets(committed_log(log)).groupBy(*BY_KEY).agg(F.min_by(live, place).alias("first"), F.max_by(live, place).alias("last"))
+    return by_key.groupBy("bucket").agg(F.sum(1 + F.col("last") - F.col("first")).alias("valid_keys"))
 
 
 def replay_trace(log: DataFrame, now: int = NOW) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltlog.functions.expr import entry_size, garbage_ratio, is_visible, ratio
-from siltlog.operators.snapshot import BY_KEY, ORDER, committed_log, index_plain
+from siltlog.operators.snapshot import BY_KEY, ORDER, committed_log, last_places, without_deleted_buckets
 from siltlog.sources.log import NOW
 
 
@@ -21,14 +21,17 @@ def hotness(reads: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def segments(log: DataFrame, reads: DataFrame | None = None, now: int = NOW) -> DataFrame:
-    """(file_id, size, live_bytes, read_count): all entries of a file, and those that are current and visible."""
-    indexed = index_plain(log)
-    sizes = sized(log).groupBy("file_id").agg(F.sum("size").alias("size"))
-    alive = sized(indexed.where(is_visible(now))).groupBy("file_id").agg(F.sum("size").alias("live_bytes"))
-    out = sizes.join(alive, "file_id", "left").withColumn("live_bytes", F.coalesce("live_bytes", F.lit(0)))
+    """(file_id, size, live_bytes, read_count): all entries of a file, and those that are current and visible. What a
+    bucket delete has hidden is garbage."""
+    sizes = sized(log).groupBy("file_id").agg(F.sum("size").alias("size"), F.lit(0).cast("long").alias("live_bytes"), F.lit(0).cast("long").alias("read_count"))
+    last = last_places(log, F.struct("flag", "ttl", "ts", entry_size().alias("size")))
+    alive = F.when(is_visible(now, "last.flag", "last.ttl", "last.ts"), F.col("last.size")).otherwise(0)
     if reads is None:
-        return out.withColumn("read_count", F.lit(0).cast("long"))
-    return out.join(hotness(reads, indexed), "file_id", "left").withColumn("read_count", F.coalesce("read_count", F.lit(0)))
+        last = last.withColumn("n", F.lit(0).cast("long"))
+    else:
+        last = last.join(reads.groupBy(*BY_KEY).agg(F.count("*").alias("n")), BY_KEY, "left")
+    by_file = last.groupBy("place.file_id").agg(F.lit(0).cast("long").alias("size"), F.sum(alive).alias("live_bytes"), F.sum(F.coalesce("n", F.lit(0))).alias("read_count"))
+    return sizes.unionByName(by_file).groupBy("file_id").agg(*[F.sum(c).alias(c) for c in ("size", "live_bytes", "read_count")])
 
 
 def segment_ratios(segs: DataFrame) -> DataFrame:
@@ -46,9 +49,9 @@ def observation(segs: DataFrame, segment_size: int, written: int, merged: int) -
 
 
 def superseded(log: DataFrame) -> DataFrame:
-    """Committed entries that a later committed entry of their key replaces. The last entries are aggregated in the
-    tasks and joined, so that a key with a large share of the log can be split."""
-    entries = committed_log(log).select(*ORDER, *BY_KEY)
+    """Committed entries that a later committed entry of their key replaces, but for those that a bucket delete has hidden.
+    The last entries are aggregated in the tasks and joined, so that a key with a large share of the log can be split."""
+    entries = without_deleted_buckets(committed_log(log)).select(*ORDER, *BY_KEY)
     last = entries.groupBy(*BY_KEY).agg(F.max(F.struct(*ORDER)).alias("_last"))
     return entries.join(last, BY_KEY).where(F.struct(*ORDER) < F.col("_last")).select(*ORDER, *BY_KEY)
 

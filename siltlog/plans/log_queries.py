@@ -295,6 +295,76 @@ def merge_snapshot_invariance(spark, sf_dir):
     return snapshot.live(snapshot.index_plain(merged)).select("bucket", "key", "value", "ts", "ttl")
 
 
+_DELETED = """marked AS (SELECT e.* FROM clog e LEFT JOIN (SELECT bucket, max(event_id) AS mark FROM clog WHERE event_id % 211 = 0 GROUP BY 1) m USING (bucket) WHERE e.event_id % 211 <> 0 AND (m.mark IS NULL OR e.event_id > m.mark)),
+didx AS (SELECT * FROM marked QUALIFY row_number() OVER (PARTITION BY bucket, key ORDER BY file_id DESC, pos DESC) = 1),
+dlive AS (SELECT * FROM didx WHERE flag <> 0 AND (ttl = 0 OR ts + ttl > 1706745600))"""
+_DELETED_SEGMENTS = """dsized AS (SELECT file_id, sum(42 + strlen(bucket) + strlen(key) + CASE WHEN flag = 0 AND event_id % 211 <> 0 THEN 0 ELSE strlen(value) END) AS size FROM log GROUP BY 1),
+dseg AS (SELECT file_id, CAST(size AS BIGINT) AS size, CAST(coalesce(live, 0) AS BIGINT) AS live_bytes FROM dsized LEFT JOIN (SELECT file_id, sum(42 + strlen(bucket) + strlen(key) + strlen(value)) AS live FROM dlive GROUP BY 1) USING (file_id))"""
+
+
+@query("merge_twice_invariance", over_log("SELECT bucket, key, value, ts, CAST(ttl AS BIGINT) AS ttl FROM dlive", _DELETED))
+def merge_twice_invariance(spark, sf_dir):
+    """The live snapshot of a log with bucket deletes after its older files have been merged, and what came of them has been
+    merged again with the files that follow: the one before."""
+    log = with_bucket_deletes(load_log(spark, sf_dir))
+    most = log.agg(F.max("file_id")).first()[0]
+    for upto in (most // 3, 2 * most // 3):
+        log = compaction.merged_log(log, log.where(F.col("file_id") <= upto).select("file_id").distinct(), upto)
+    return snapshot.live(snapshot.index(log)).select("bucket", "key", "value", "ts", "ttl")
+
+
+@query("segment_stats_bucket_deletes", over_log("SELECT file_id, size, live_bytes FROM dseg", _DELETED, _DELETED_SEGMENTS))
+def segment_stats_bucket_deletes(spark, sf_dir):
+    return stats.segments(with_bucket_deletes(load_log(spark, sf_dir))).select("file_id", "size", "live_bytes")
+
+
+@query("pick_garbage_bucket_deletes", over_log("SELECT file_id, CAST(size - live_bytes AS DOUBLE) / CAST(size AS DOUBLE) AS score FROM dseg WHERE size > 0 ORDER BY score DESC, file_id LIMIT 1", _DELETED, _DELETED_SEGMENTS))
+def pick_garbage_bucket_deletes(spark, sf_dir):
+    return compaction.by_garbage(stats.segments(with_bucket_deletes(load_log(spark, sf_dir))), 0.0)
+
+
+@query(
+    "valid_key_counter_bucket_deletes",
+    over_log(
+        """SELECT bucket, CAST(sum(CASE WHEN was IS NULL THEN 1 WHEN was <> 0 AND flag = 0 THEN -1 WHEN was = 0 AND flag <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS valid_keys
+        FROM (SELECT *, lag(flag) OVER (PARTITION BY bucket, key ORDER BY file_id, pos) AS was FROM marked) GROUP BY 1""",
+        _DELETED,
+    ),
+)
+def valid_key_counter_bucket_deletes(spark, sf_dir):
+    return snapshot.valid_key_counter(with_bucket_deletes(load_log(spark, sf_dir)))
+
+
+#: Bytes of the budgeted merge: the oldest files that fit.
+MERGE_BUDGET = 250_000
+
+
+@query(
+    "budgeted_merge_bytes",
+    over_segments(
+        """SELECT target, CAST(count(*) AS BIGINT) AS files, CAST(sum(size) AS BIGINT) AS bytes_read, CAST(coalesce(any_value(w.written), 0) AS BIGINT) AS bytes_written
+        FROM src LEFT JOIN (SELECT target, sum(42 + strlen(bucket) + strlen(key) + CASE WHEN flag = 0 THEN 0 ELSE strlen(value) END) AS written FROM kept GROUP BY 1) w USING (target) GROUP BY target""",
+        "nth AS (SELECT file_id, size, row_number() OVER (ORDER BY file_id) AS rn FROM seg)",
+        f"""fit AS (SELECT rn, file_id, size, size > 0 AND size <= {MERGE_BUDGET} AS taken, CASE WHEN size > 0 AND size <= {MERGE_BUDGET} THEN size ELSE 0 END AS used FROM nth WHERE rn = 1
+        UNION ALL SELECT n.rn, n.file_id, n.size, n.size > 0 AND f.used + n.size <= {MERGE_BUDGET}, CASE WHEN n.size > 0 AND f.used + n.size <= {MERGE_BUDGET} THEN f.used + n.size ELSE f.used END FROM fit f JOIN nth n ON n.rn = f.rn + 1)""",
+        "runs AS (SELECT *, rn - row_number() OVER (ORDER BY rn) AS run FROM fit WHERE taken)",
+        "src AS (SELECT file_id, size, max(file_id) OVER (PARTITION BY run) AS target FROM runs QUALIFY count(*) OVER (PARTITION BY run) > 1)",
+        """kept AS (SELECT * FROM (SELECT c.*, s.target, row_number() OVER (PARTITION BY c.bucket, c.key ORDER BY c.file_id DESC, c.pos DESC) AS rnk, count(*) FILTER (s.file_id IS NULL) OVER (PARTITION BY c.bucket, c.key) > 0 AS outside
+        FROM clog c LEFT JOIN src s ON s.file_id = c.file_id) WHERE rnk = 1 AND target IS NOT NULL AND (outside OR NOT (flag = 0 OR (ttl <> 0 AND ts + ttl <= 1706745600))))""",
+    ).replace("WITH log", "WITH RECURSIVE log", 1),
+)
+def budgeted_merge_bytes(spark, sf_dir):
+    """What a merge within a budget reads and writes, by target: its sources and their survivors, not the table."""
+    log = load_log(spark, sf_dir)
+    segs = stats.segments(log)
+    taken = compaction.within_budget(segs, MERGE_BUDGET).select("file_id").collect()
+    targets = compaction.run_targets([r.file_id for r in segs.select("file_id").collect()], {r.file_id for r in taken})
+    sources = spark.createDataFrame(targets, "file_id long, target long")
+    read = segs.join(sources, "file_id").groupBy("target").agg(F.count("*").alias("files"), F.sum("size").alias("bytes_read"))
+    written = stats.sized(compaction.merged_files(log, sources)).groupBy(F.col("file_id").alias("target")).agg(F.sum("size").alias("bytes_written"))
+    return read.join(written, "target", "left").select("target", "files", "bytes_read", F.coalesce("bytes_written", F.lit(0)).alias("bytes_written"))
+
+
 @query(
     "analyze_workload",
     """WITH puts AS (SELECT event_id AS seq, user_id AS key, CAST(floor(value * 100) AS BIGINT) AS bytes FROM events WHERE event_type NOT IN ('click', 'view')),

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from siltlog.operators import compaction, models, scan, snapshot, stats
-from siltlog.plans.maintenance import EmptyBucket, EmptyKey, LogTable
+from siltlog.plans.maintenance import EmptyBucket, EmptyKey, LogTable, LostRace
 from siltlog.sources.log import LOG_SCHEMA
 
 NOW = 1000
@@ -142,9 +143,96 @@ def test_log_table(spark, tmp_path):
     assert state() == {("k1", "new")}
     with pytest.raises(ValueError):
         table.merge(table.read().select("file_id").distinct(), NOW)
-    with pytest.raises(RuntimeError):
+    with pytest.raises(LostRace):
         table._publish([], table._version() - 1)  # a command that began before the last snapshot
     assert state() == {("k1", "new")}
+    table.put("", "k", "in no bucket", NOW)
+    with pytest.raises(EmptyKey):
+        table.put("b", "", "x", NOW)
+    assert state() == {("k1", "new"), ("k", "in no bucket")}
+
+
+def random_log(rnd, files=6):
+    """Rows of LOG_SCHEMA: puts, deletes, expired ones, bucket deletes, transactions across files, some without marker."""
+    rows = []
+    for n in range(files * 6):
+        bucket, key, tx = rnd.choice("ab"), rnd.choice("wxyz"), rnd.randrange(files * 3)
+        kind = rnd.random()
+        flag, ds, ttl = (16, 1, 0) if kind < 0.08 else (0, 0, 0) if kind < 0.25 else (1, 0, 5 if kind < 0.35 else 0)
+        rows.append((n // 6, n % 6, bucket, "" if flag == 16 else key, f"v{n}", flag, int(rnd.random() < 0.6), ds, ttl, NOW - 10, tx))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sequences_of_merges_keep_the_snapshot(spark, seed):
+    rnd = random.Random(seed)
+    log = spark.createDataFrame(random_log(rnd), LOG_SCHEMA)
+    state = lambda df: {(r.bucket, r.key, r.value) for r in snapshot.live(snapshot.index(df), NOW).collect()}
+    before = state(log)
+    for _ in range(4):
+        files = sorted(r.file_id for r in log.select("file_id").distinct().collect())
+        if len(files) < 2:
+            break
+        a = rnd.randrange(len(files) - 1)
+        run = files[a : rnd.randrange(a + 2, len(files) + 1)]
+        merged = compaction.merged_log(log, spark.createDataFrame([(f,) for f in run], "file_id long"), run[-1], NOW)
+        log = spark.createDataFrame(merged.collect(), LOG_SCHEMA)
+        assert state(log) == before
+
+
+def test_merge_after_a_bucket_delete_and_a_merge(spark):
+    """What was written after a bucket delete stays after it, however often its file has been merged."""
+    rows = [(0, 0, "a", "k", "x", 1, 1, 0, 0, NOW, 1), (5, 0, "a", "k", "y", 1, 1, 0, 0, NOW, 2), (5, 1, "b", "k", "old", 1, 1, 0, 0, NOW, 3)]
+    rows += [(5, 2, "b", "", None, 16, 1, 1, 0, NOW, 4), (6, 0, "b", "k", "new", 1, 1, 0, 0, NOW, 5)]
+    log = spark.createDataFrame(rows, LOG_SCHEMA)
+    for files in ([0, 5], [5, 6]):
+        log = spark.createDataFrame(compaction.merged_log(log, spark.createDataFrame([(f,) for f in files], "file_id long"), files[-1], NOW).collect(), LOG_SCHEMA)
+        assert {(r.bucket, r.value) for r in snapshot.live(snapshot.index(log), NOW).collect()} == {("a", "y"), ("b", "new")}
+    assert {r.file_id: r.live_bytes for r in stats.segments(log, now=NOW).collect()} == {6: 2 * 44 + 1 + 3}
+
+
+def test_budgeted_merges_write_their_survivors_only(spark, tmp_path):
+    rnd = random.Random(9)
+    rows = [*random_log(rnd, 8), (1, 6, "c", "only", "kept", 1, 1, 0, 0, NOW, 999)]
+    table = LogTable(spark, f"file://{tmp_path}/log")
+    table.load(spark.createDataFrame(rows, LOG_SCHEMA))
+    state = lambda: {(r.bucket, r.key, r.value) for r in snapshot.live(snapshot.index(table.read()), NOW).collect()}
+    before, whole = state(), table._current(table._version())[0]["name"]
+    size = {r.file_id: r.size for r in stats.segments(table.read(), now=NOW).collect()}
+    assert table.merge_within(size[0] + size[1] + size[2], NOW) == [[0, 1, 2]]
+    assert state() == before
+    names = [x["name"] for x in table._current(table._version()) if x["kind"] == "data"]
+    assert names[0] == whole and len(names) == 2  # the loaded data set is still read, without the files replaced
+    assert {r.file_id for r in spark.read.parquet(f"{tmp_path}/log/{names[1]}").collect()} == {2}
+    assert {r.file_id for r in table.read().collect()} == {2, 3, 4, 5, 6, 7}
+    table.merge(spark.createDataFrame([(f,) for f in (2, 3, 4)], "file_id long"), NOW)
+    assert state() == before
+    table.put_batch(spark.createDataFrame([(0, "a", "w", "last", 0)], "seq long, bucket string, key string, value string, ttl long"), NOW)
+    after = state()
+    assert ("a", "w", "last") in after
+    assert table.merge_within(1 << 30, NOW) == [[4, 5, 6, 7, 8]]
+    assert state() == after and whole not in [x.get("name") for x in table._current(table._version())]
+    table.vacuum()
+    assert state() == after
+
+
+def test_two_publishers(spark, tmp_path):
+    """Of two commands that read the same snapshot one gets an error, and nothing that was published is lost."""
+    one, two = LogTable(spark, f"file://{tmp_path}/log"), LogTable(spark, f"file://{tmp_path}/log")
+    one.put("b", "k", "1", NOW)
+    version = two._version()
+    one.put("b", "k", "2", NOW)
+    with pytest.raises(LostRace):
+        two._publish([], version)
+    assert {r.value for r in snapshot.live(snapshot.index(one.read()), NOW).collect()} == {"2"}
+
+
+def test_bucket_deletes_in_counters(spark):
+    rows = [put("a", "1", 1), ("b", "", None, 16, 1, 0, NOW, 2), put("c", "3", 3), delete("c", 4), put("d", "4", 5)]
+    log = log_of(spark, rows).withColumn("ds", F.when(F.col("flag") == 16, 1).otherwise(0))
+    assert [(r.records, r.index_keys, r.live_keys) for r in snapshot.key_counts(log, NOW).collect()] == [(3, 2, 1)]
+    assert [r.valid_keys for r in snapshot.valid_key_counter(log).collect()] == [1]
+    assert [r.key for r in stats.superseded(log).collect()] == ["c"]
 
 
 def test_live_bytes_of_segments(spark):
