@@ -6,31 +6,26 @@ number of rows. The compacted index yields a filter of the digests that occur mo
 hits, whose bytes are compared with the bytes of the row that stays. Rows that share a digest but not the bytes (a collision) are
 grouped again by digest and bytes, so the result never depends on the digest alone.
 
-Only hits move their text. The filter has a fixed number of bits at any input size; when it fills up, more
-rows take the join, and nothing else changes. A digest that a third of all rows share has one entry per
-memtable in the runs, and one side of the hit join has a single row for it, so adaptive execution can split it.
+Only hits move their text, and they are written once. The filter grows with the number of repeated digests, up to 16 MB
+(at 12 bits each, 11 million of them, of which a text that isn't repeated passes once in 40); beyond that more rows take
+the join, and nothing else changes. A digest that a third of all rows share has one entry per memtable in the runs, and
+one side of the hit join has a single row for it, so adaptive execution can split it.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from .base import new_folder, one_row_each, table, written
+from .base import filter_bits, new_folder, one_row_each, passes, table, without, written
 
 #: Entries that a memtable holds before it is flushed as a run.
 MEMTABLE_ROWS = 200_000
-#: Words of 64 bits in the filter of repeated digests: 1 MB at any input size.
-FILTER_WORDS = 1 << 17
-#: Bit positions a digest sets, each taken from its own four bytes.
-FILTER_PROBES = 3
-
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
@@ -107,35 +102,7 @@ class MergeIndex:
         return compact(self.entries().where(F.col("digest").isin([bytearray(d) for d in digests])), self.keep)
 
 
-def filter_bits(repeated: DataFrame, words: int = FILTER_WORDS) -> np.ndarray:
-    """A Bloom filter of the digests in repeated. At most `words` rows reach the driver, whatever the input."""
-    bits = [F.conv(F.hex(F.substring("digest", 1 + 4 * k, 4)), 16, 10).cast("long") % (64 * words) for k in range(FILTER_PROBES)]
-    at = repeated.select(F.explode(F.array(*bits)).alias("bit"))
-    got = at.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    out = np.zeros(words, np.int64)
-    for word, value in got.collect():
-        out[word] = value
-    return out
-
-
-def passes(bits: np.ndarray):
-    """A column function: may this digest be in the filter? Never false for one that is."""
-    n = 64 * len(bits)
-    sent = bits.tobytes()
-
-    @F.pandas_udf(T.BooleanType())
-    def probe(digests):
-        import pandas as pd
-
-        words = np.frombuffer(sent, np.int64)
-        raw = np.frombuffer(b"".join(d[: 4 * FILTER_PROBES].ljust(4 * FILTER_PROBES, b"\0") for d in digests), ">u4").reshape(-1, FILTER_PROBES)
-        at = raw.astype(np.int64) % n
-        return pd.Series(((words[at // 64] >> (at % 64)) & 1).all(axis=1))
-
-    return probe
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest=sha256, memtable_rows: int = MEMTABLE_ROWS, filter_words: int = FILTER_WORDS) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", digest=sha256, memtable_rows: int = MEMTABLE_ROWS, filter_words: int | None = None) -> DataFrame:
     """One row per input row: id, digest, keep_id, group_size, kept.
 
     Texts are equal when their bytes are; null counts as empty. `keep` is 'smallest' or 'largest'. Null
@@ -149,22 +116,27 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     index = MergeIndex(docs.sparkSession, keep, memtable_rows)
     index.add(rows)
     repeated = written(index.compact().where("n > 1"), "repeated")
-    probe = passes(filter_bits(repeated, filter_words))
-    hits = texts.where(probe("digest"))
+    probe = passes(docs.sparkSession, filter_bits(repeated.select(F.xxhash64("digest").alias("hash")), filter_words))
+    hits = written(texts.where(probe(F.xxhash64("digest"))).withColumn("row", F.monotonically_increasing_id()), "hits")
     # written, so that the join has plain shuffles on both sides and a digest with many hits can be split
     keepers = written(_keepers(repeated, hits), "keepers")
     joined = hits.join(keepers, "digest", "left").select(
-        "id", "digest", "keep_id", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce(F.col("text") == F.col("keep_text"), F.lit(True)).alias("same"), F.col("n").isNull().alias("alone")
+        "id", "digest", "row", "keep_id", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce(F.col("text") == F.col("keep_text"), F.lit(True)).alias("same"), F.col("n").isNull().alias("alone")
     )
-    joined = written(joined, "hits")
+    joined = written(joined, "compared")
     if not joined.where("not same").isEmpty():
         joined = _regrouped(joined, hits, keep)
     joined = joined.withColumn("keep_id", F.when(F.col("alone"), F.col("id")).otherwise(F.col("keep_id")))
-    stays = joined.where(F.col("id").eqNullSafe(F.col("keep_id")))
-    gone = joined.where(~F.col("id").eqNullSafe(F.col("keep_id")))
+    stays, gone = joined.where(F.col("id").eqNullSafe(F.col("keep_id"))), joined.where(~F.col("id").eqNullSafe(F.col("keep_id")))
+    # of rows that repeat identifier and text the first is kept; it is found in the tasks, however many they are
     part = [c for c in ("id", "digest", "part") if c in joined.columns]
-    stays = stays.withColumn("kept", F.row_number().over(Window.partitionBy(*part).orderBy("n")) == 1)
-    single = rows.where(~probe("digest")).select("id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("kept"))
+    first = written(stays.groupBy(*[F.col(c).alias(f"_{c}") for c in part]).agg(F.min("row").alias("first"), F.count("*").alias("times")).where("times > 1"), "repeats")
+    if first.isEmpty():
+        stays = stays.withColumn("kept", F.lit(True))
+    else:
+        same = functools.reduce(operator.and_, [stays[c].eqNullSafe(first[f"_{c}"]) for c in part])
+        stays = stays.join(first, same, "left").withColumn("kept", F.coalesce(F.col("row") == F.col("first"), F.lit(True)))
+    single = rows.where(~probe(F.xxhash64("digest"))).select("id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("kept"))
     columns = ["id", "digest", "keep_id", F.col("n").alias("group_size"), "kept"]
     return single.select(columns).unionByName(stays.select(columns)).unionByName(gone.withColumn("kept", F.lit(False)).select(columns))
 
@@ -182,7 +154,7 @@ def _regrouped(joined: DataFrame, hits: DataFrame, keep: str) -> DataFrame:
     shared = joined.where("not same").select("digest").distinct()
     texts = hits.join(shared, "digest", "left_semi")
     groups = texts.groupBy("digest", "text").agg(pick("id").alias("keep_id"), F.count("*").alias("n"))
-    again = texts.join(groups, ["digest", "text"]).select("id", "digest", "keep_id", "n", F.lit(True).alias("same"), F.lit(False).alias("alone"), F.xxhash64("text").alias("part"))
+    again = texts.join(groups, ["digest", "text"]).select("id", "digest", "row", "keep_id", "n", F.lit(True).alias("same"), F.lit(False).alias("alone"), F.xxhash64("text").alias("part"))
     rest = joined.join(shared, "digest", "left_anti").withColumn("part", F.lit(0).cast("long"))
     return written(rest.unionByName(again), "regrouped")
 
@@ -203,10 +175,13 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays, the one with the largest doc_id; a group without doc_ids keeps
-    one as well. Of rows that repeat both doc_id and text one stays."""
+    one as well. Of rows that repeat both doc_id and text one stays.
+
+    Null and empty texts are equal; very long texts are compared whole. An empty table gives an empty result. All columns of
+    docs pass through, whatever their names.
+    """
     groups = written(exact_groups(docs, keep="largest").select("id", "digest", "keep_id", "kept"), "exact-stage")
     stays = F.col("id").eqNullSafe(F.col("keep_id"))
-    gone = groups.where(~stays).select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
-    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (sha256(F.coalesce(docs["text"], F.lit(""))) == gone["gone_digest"])
-    out = docs.join(gone, same, "left_anti")
+    gone = written(groups.where(~stays).select(F.col("id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct(), "exact-gone")
+    out = without(docs, gone, {"gone_id": docs["doc_id"].cast("long"), "gone_digest": sha256(F.coalesce(docs["text"], F.lit("")))})
     return out if groups.where(stays & ~F.col("kept")).isEmpty() else one_row_each(out)
