@@ -12,6 +12,9 @@ A dense group needs about one comparison per row, as the search drops the rows t
 The pipeline's stage links texts by their similarity instead (similar_groups): the Jaccard similarity of their sets of
 five-word shingles is SIMILARITY or more. Fingerprints of such texts differ in up to WIDE bits, too many for blocks, so
 candidates share one of BANDS keys, each made of BAND_ROWS minhashes; they are verified by Hamming distance, then exactly.
+A key of more than KEY_ROWS texts is dealt over tasks (hot_links): all its texts are compared with a few pivots, which
+joins the dense ones; then, if at most KEY_ROWS stand outside the largest component, those are compared with all, else the
+key is cut into finer keys, of which each pair at the least similarity shares one as surely as a first key.
 """
 
 from __future__ import annotations
@@ -25,13 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import one_row_each, table, written
+from .base import one_row_each, table, without, written
 from .components import components
 
 #: Bits of a fingerprint, and into how many blocks it is cut for the first keys.
 BITS, BLOCKS = 64, 6
 #: Fingerprints of one key that a task compares (8 bytes each); more are cut into smaller keys.
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 5000
 SEED = 42
 #: The stage: words of a shingle, least similarity of near copies.
 STAGE_WORDS, SIMILARITY = 5, 0.8
@@ -40,8 +43,10 @@ BANDS, BAND_ROWS = 24, 4
 #: Bits in which fingerprints of texts of that similarity may differ: 12 are the mean where it is greatest (4 and 5
 #: shingles), and more than 28 come once in some million pairs.
 WIDE = 28
-_XOR, _TIMES = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
-_TIMES |= np.uint64(1)
+#: Texts of a key whose sets of shingles a task compares with each other; pivots of a hotter key.
+KEY_ROWS, PIVOTS = 500, 4
+#: Finer keys per text, minhashes per finer key: (1 - 0.8**8) ** 69 is (1 - 0.8**4) ** 24.
+FINE_BANDS, FINE_ROWS = 72, 8
 _SET = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -204,13 +209,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(of, "fp", "left").select("id", "fp", "text_hash", "root", "component_id")
 
 
-def band_keys(distinct: np.ndarray) -> list[int]:
-    """The keys of a set of shingles, as signed longs; an empty set has none."""
-    if not len(distinct):
-        return []
-    least = np.concatenate([((distinct[k : k + 4096] ^ _XOR) * _TIMES).min(1)[:, None] for k in range(0, len(distinct), 4096)], axis=1).min(1)
-    rows = least.astype("<u8").reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], np.uint64).view(np.int64).tolist()
+class Minhashes:
+    """The keys of a set of shingles, as signed longs; an empty set has none. Each number gives functions of its own."""
+
+    def __init__(self, bands: int, rows: int, number: int):
+        self.bands, self.rows = bands, rows
+        self.xor, self.times = np.random.default_rng([SEED, number]).integers(0, 1 << 64, (2, bands * rows, 1), np.uint64)
+        self.times |= np.uint64(1)
+
+    def __call__(self, distinct: np.ndarray) -> list[int]:
+        if not len(distinct):
+            return []
+        least = np.concatenate([((distinct[k : k + 4096] ^ self.xor) * self.times).min(1)[:, None] for k in range(0, len(distinct), 4096)], axis=1).min(1)
+        rows = least.astype("<u8").reshape(self.bands, self.rows)
+        return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], np.uint64).view(np.int64).tolist()
 
 
 def node_of(distinct: np.ndarray) -> int:
@@ -245,14 +257,129 @@ def similar_links(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], si
     return a, b
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def are_similar(sets: list[np.ndarray], fps: np.ndarray, sizes: np.ndarray, one: np.ndarray, fp: int, similarity: float) -> list[int]:
+    """Which of the sets are similar to one."""
+    maybe = np.minimum(sizes, len(one)) >= similarity * np.maximum(sizes, len(one)) - 1e-9
+    maybe &= np.bitwise_count((fps ^ fp).view(np.uint64)) <= WIDE
+    out = []
+    for k in np.flatnonzero(maybe).tolist():
+        both = len(np.intersect1d(sets[k], one, assume_unique=True))
+        if both >= similarity * (len(one) + sizes[k] - both) - 1e-9:
+            out.append(k)
+    return out
+
+
+def key_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, node) to links (a, b) that connect the similar sets of each key. A key's sets stand in one task."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, node, fp, shingles) with the rows of a key together; a key's rows may go on in the next batch."""
+        key, held = None, []
+
+        def found() -> pa.RecordBatch:
+            a, b = similar_links(np.array([r[0] for r in held]), np.array([r[1] for r in held]), [r[2] for r in held], similarity) if len(held) > 1 else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for own, node, fp, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != key:
+                    yield found()
+                    key, held = own, []
+                held.append((node, fp, np.frombuffer(raw, "<u8")))
+        yield found()
+
+    dealt = members.join(sets, "node").select("key", "node", "fp", "shingles").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(links, "a long, b long")
+
+
+def pivot_links(members: DataFrame, pivots: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float, key_rows: int) -> DataFrame:
+    """(key, node) and pivots (key, node) to links between each pivot and the similar members of its key. sizes has the
+    number n of a key's members; these are dealt in parts of about key_rows, each with all pivots of the key."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, part, is_member, node, fp, shingles) in this order of the first three."""
+        now, held = None, ([], [], [])
+        arrays = (np.empty(0, np.int64),) * 2
+        for batch in batches:
+            a, b = [], []
+            for key, part, is_member, node, fp, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, part) != now:
+                    now, held, arrays = (key, part), ([], [], []), None
+                one = np.frombuffer(raw, "<u8")
+                if not is_member:
+                    for x, y in zip(held, (node, fp, one), strict=True):
+                        x.append(y)
+                    continue
+                if arrays is None:
+                    arrays = np.array(held[1], np.int64), np.array([len(x) for x in held[2]], np.int64)
+                for k in are_similar(held[2], *arrays, one, fp, similarity) if held[0] else ():
+                    if held[0][k] != node:
+                        a.append(held[0][k])
+                        b.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    parts = sizes.select("key", F.ceil(F.col("n") / key_rows).cast("long").alias("parts"))
+    left = members.join(parts, "key").select("key", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.lit(True).alias("is_member"), "node")
+    right = pivots.join(parts, "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_member"), "node")
+    rows = left.unionByName(right).join(sets, "node").select("key", "part", "is_member", "node", "fp", "shingles")
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part", "is_member").mapInArrow(compare, "a long, b long")
+
+
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """(key, node) to (key, n) of the keys that two nodes share; of keys that hold the same nodes one."""
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("all")).where("n > 1")
+    return shared.groupBy("n", "least", "all").agg(F.min("key").alias("key")).select("key", "n")
+
+
+def hot_links(members: DataFrame, sets: DataFrame, similarity: float, key_rows: int = KEY_ROWS) -> DataFrame:
+    """Links of keys (key, node) of any size: key_links dealt over tasks. See the module's text."""
+    found, level = None, 0
+    while True:
+        sizes = written(members.groupBy("key").agg(F.count("*").alias("n"), *[F.min_by("node", F.xxhash64("node", F.lit(level), F.lit(j))).alias(f"p{j}") for j in range(PIVOTS)]), "hot-sizes")
+        pivots = sizes.select("key", F.explode(F.array_distinct(F.array(*[f"p{j}" for j in range(PIVOTS)]))).alias("node"))
+        new = written(pivot_links(members, pivots, sizes, sets, similarity, key_rows), "pivot-links")
+        found = new if found is None else found.unionByName(new)
+        rooted = written(members.join(components(found), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "hot-roots")
+        by_root = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+        by_key = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+        rest = written(by_key.where("roots > 1").withColumn("few", F.col("n") - F.col("most") <= key_rows), "hot-rest")
+        if rest.isEmpty():
+            return found
+        few = rooted.join(rest.where("few").select("key", "main"), "key")
+        found = found.unionByName(written(pivot_links(few.select("key", "node"), few.where("root <> main").select("key", "node"), rest, sets, similarity, key_rows), "few-links"))
+        many = written(rooted.join(rest.where("NOT few").select("key"), "key", "left_semi"), "hot-many")
+        if many.isEmpty():
+            return found
+        level += 1
+        fine = Minhashes(FINE_BANDS, FINE_ROWS, level)
+
+        def finer(batches: Iterator[pa.RecordBatch], fine: Minhashes = fine) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = [fine(np.frombuffer(x.as_py(), "<u8")) for x in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
+
+        own = sets.join(many.select("node").distinct(), "node", "left_semi").select("node", "shingles").mapInArrow(finer, "node long, keys array<long>")
+        keyed = many.join(own, "node").select("key", "node", "root", F.explode("keys").alias("fine"))
+        keyed = written(keyed.select(F.xxhash64("key", "fine").alias("key"), "node", "root").distinct(), "fine-keys")
+        open_ = keyed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+        keyed = keyed.join(open_, "key", "left_semi").select("key", "node")
+        chosen = written(shared_keys(keyed), "fine-shared")
+        found = found.unionByName(written(key_links(keyed.join(chosen.where(F.col("n") <= key_rows).select("key"), "key", "left_semi"), sets, similarity), "fine-links"))
+        members = written(keyed.join(chosen.where(F.col("n") > key_rows).select("key"), "key", "left_semi"), "hot-members")
+        if members.isEmpty():
+            return found
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = STAGE_WORDS, similarity: float = SIMILARITY, key_rows: int = KEY_ROWS) -> DataFrame:
     """One row per input row: id, text_hash, root (one for all texts that chains of similar texts connect).
 
     Words are those of near_groups. Texts of equal sets of shingles are one node; null and empty texts have the empty
-    set. Of keys that hold the same nodes one is verified. A key's sets stand in one task.
+    set. Of keys that hold the same nodes one is verified. Very long texts count whole, and a set stands in one task. An
+    empty table gives an empty result; other columns aren't read.
     """
     if similarity < SIMILARITY:
         raise ValueError("the keys find similarities of 0.8 or more")
+    band_keys = Minhashes(BANDS, BAND_ROWS, 0)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,33 +397,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     [pa.array(map(node_of, sets), pa.int64()), pa.array(fps), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["node", "fp", "shingles"]
                 )
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, node, fp, shingles) with the rows of a key together; a key's rows may go on in the next batch."""
-        key, held = None, []
-
-        def found() -> pa.RecordBatch:
-            a, b = similar_links(np.array([r[0] for r in held]), np.array([r[1] for r in held]), [r[2] for r in held], similarity) if len(held) > 1 else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            for own, node, fp, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if own != key:
-                    yield found()
-                    key, held = own, []
-                held.append((node, fp, np.frombuffer(raw, "<u8")))
-        yield found()
-
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     rows = written(texts.mapInArrow(sketch, "id long, text_hash long, node long, keys array<long>"), "sketches")
     nodes = rows.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"))
     keyed = written(nodes.select("node", "text_hash", F.explode("keys").alias("key")), "band-keys")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("all")).where("n > 1")
-    chosen = written(shared.groupBy("n", "least", "all").agg(F.min("key").alias("key")), "shared-keys")
-    members = written(keyed.join(chosen.select("key"), "key", "left_semi"), "members")
+    chosen = written(shared_keys(keyed), "shared-keys")
+    members = written(keyed.join(chosen, "key"), "members")
     wanted = texts.join(members.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
     sets = written(wanted.select("text").mapInArrow(fetch, "node long, fp long, shingles binary"), "shingle-sets")
-    dealt = members.join(sets, "node").select("key", "node", "fp", "shingles").repartition("key").sortWithinPartitions("key")
-    linked = components(dealt.mapInArrow(links, "a long, b long"))
+    found = key_links(members.where(F.col("n") <= key_rows).select("key", "node"), sets, similarity)
+    hot = members.where(F.col("n") > key_rows).select("key", "node")
+    if not hot.isEmpty():
+        found = found.unionByName(hot_links(hot, sets, similarity, key_rows))
+    linked = components(found)
     return rows.join(linked, "node", "left").select("id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 
@@ -307,13 +420,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (similar_groups) stays, the one with the smallest doc_id (then
-    text_hash); a group without doc_ids keeps one as well. Of rows that repeat both doc_id and text one stays."""
+    text_hash); a group without doc_ids keeps one as well. Of rows that repeat both doc_id and text one stays.
+
+    Null and empty texts are one group; very long texts count whole. An empty table gives an empty result. All columns of
+    docs pass through, whatever their names.
+    """
     groups = written(similar_groups(docs).withColumn("rank", F.struct(F.col("id").isNull(), "id", "text_hash")), "near-groups")
-    stays = written(groups.groupBy("root").agg(F.min("rank").alias("first"), F.count("*").alias("n")), "near-stays")
-    ranked = groups.join(stays.where("n > 1"), "root")
-    gone = ranked.where(~F.col("rank").eqNullSafe(F.col("first"))).select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (text_hash(docs["text"]) == gone["gone_hash"])
-    out = docs.join(gone, same, "left_anti")
-    if ranked.where(F.col("rank").eqNullSafe(F.col("first"))).groupBy("root").count().where("count > 1").isEmpty():
-        return out
-    return one_row_each(out)
+    # rows that repeat both are counted first, so that a root has a row for each rank
+    ranked = groups.groupBy("root", "rank").agg(F.count("*").alias("times"))
+    stays = written(ranked.groupBy("root").agg(F.min("rank").alias("first"), F.min_by("times", "rank").alias("times"), F.count("*").alias("n")), "near-stays")
+    gone = groups.join(stays.where("n > 1"), "root").where(~F.col("rank").eqNullSafe(F.col("first"))).select(F.col("id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    out = without(docs, written(gone.distinct(), "near-gone"), {"gone_id": docs["doc_id"].cast("long"), "gone_hash": text_hash(docs["text"])})
+    return out if stays.where(F.col("times") > 1).isEmpty() else one_row_each(out)

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from siltlog.llm import simhash
+from siltlog.llm import base, simhash
 
 from .test_operators import docs_of
 
@@ -63,6 +63,42 @@ def test_near_stage_equals_brute_force(spark):
     assert {r.doc_id for r in simhash.stage(spark, docs, "").collect()} == set(first)
 
 
+def test_hot_keys_equal_brute_force(spark):
+    """Keys of more texts than a task may hold: a dense group, chains in it, and strangers with a passage in common."""
+    rng = random.Random(6)
+    word = lambda: "w%d" % rng.randrange(5000)
+    first = [word() for _ in range(60)]
+    texts = []
+    for _ in range(40):
+        copy = list(first)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            copy[rng.randrange(60)] = word()
+        texts.append(" ".join(copy))
+    chain = list(first)
+    for _ in range(14):
+        chain[:2] = []
+        chain += [word(), word()]
+        texts.append(" ".join(chain))
+    texts += [" ".join([word() for _ in range(rng.randrange(4, 30))] + first + [word() for _ in range(rng.randrange(30))]) for _ in range(25)]
+    want = brute_near(texts)
+    assert 5 < len(set(want)) < 60
+    docs = docs_of(spark, list(enumerate(texts)))
+    for key_rows in (2, 8):
+        groups = {r.id: r.root for r in simhash.similar_groups(docs, key_rows=key_rows).collect()}
+        for a in range(len(texts)):
+            for b in range(a):
+                assert (groups[a] == groups[b]) == (want[a] == want[b]), (key_rows, texts[a], texts[b])
+
+
+def test_without_a_long_table(spark):
+    """The same rows go whether what is gone is sent or a filter of it."""
+    docs = docs_of(spark, [(k if k % 9 else None, f"t{k % 7}") for k in range(200)])
+    gone = spark.createDataFrame([(k, f"t{k % 5}") for k in range(0, 200, 2)] + [(None, "t0")], "a long, b string")
+    keys = {"a": docs["doc_id"], "b": docs["text"]}
+    left = [sorted((r.doc_id or -1, r.text) for r in base.without(docs, gone, keys, sent_rows=n).collect()) for n in (1000, 0)]
+    assert left[0] == left[1] and 100 < len(left[0]) < 195
+
+
 def test_chains_within_a_key():
     """The first and the last set of a chain are unlike, yet one group; a set apart has no link."""
     sets = [np.arange(k, k + 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for k in (0, 4, 8, 12, 500)]
@@ -74,10 +110,13 @@ def test_chains_within_a_key():
 
 def test_band_keys_find_similar_sets():
     rng = np.random.default_rng(5)
+    band_keys = simhash.Minhashes(simhash.BANDS, simhash.BAND_ROWS, 0)
+    fine_keys = simhash.Minhashes(simhash.FINE_BANDS, simhash.FINE_ROWS, 1)
     missed = 0
     for n in (5, 10, 50, 400):
         for _ in range(100):
             both = rng.integers(0, 1 << 64, n, np.uint64)
             more = both[: n - n // 5]
-            missed += not set(simhash.band_keys(np.sort(both))) & set(simhash.band_keys(np.sort(more)))
-    assert missed == 0 and simhash.band_keys(np.empty(0, np.uint64)) == []
+            for keys in (band_keys, fine_keys):
+                missed += not set(keys(np.sort(both))) & set(keys(np.sort(more)))
+    assert missed == 0 and band_keys(np.empty(0, np.uint64)) == []
