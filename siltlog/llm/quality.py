@@ -1,15 +1,16 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule is a test on features of a text that are computed when a rule first asks for them. On a sample the
-cost of each rule and the share of texts that it rejects are measured; rules run in descending order of rejection
-per cost, and a text that one rejects is not tested further. The order changes the time taken, not the verdict.
+cost of each rule and the share of texts that it rejects are measured, as they are in the run: on texts that pass the base
+rules, with the features that are reported already there. Rules run in descending order of rejection per cost, and a
+text that one rejects is not tested further. The order changes the time taken, not the verdict.
 """
 
 from __future__ import annotations
 
 import operator
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -120,7 +121,32 @@ RULES = (
 )
 
 
-def ordered(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[Rule]:
+def ready(text: str | None, features: tuple[str, ...]) -> Text:
+    """A text with the given features computed, and nothing else but what they need."""
+    out = Text(text)
+    for name in features:
+        getattr(out, name)
+    return out
+
+
+def measured(texts: Iterable[str | None], rules: tuple[Rule, ...], base: tuple[Rule, ...], features: tuple[str, ...], clock: Callable[[], int] = time.perf_counter_ns) -> tuple[list[int], list[int]]:
+    """What each rule costs, and how many texts it rejects, of those that pass the base rules: each rule pays for the
+    features that it needs beyond the given ones."""
+    spent, rejected = [0] * len(rules), [0] * len(rules)
+    for text in texts:
+        known = ready(text, features)
+        if any(rule.rejects(known) for rule in base):
+            continue
+        have = dict(known.__dict__)
+        for k, rule in enumerate(rules):
+            known.__dict__ = dict(have)
+            began = clock()
+            rejected[k] += rule.rejects(known)
+            spent[k] += clock() - began
+    return spent, rejected
+
+
+def ordered(docs: DataFrame, rules: tuple[Rule, ...], base: tuple[Rule, ...], features: tuple[str, ...], text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[Rule]:
     """rules by rejection per cost on at most `rows` texts of a sample by hash. Without rows, as given."""
     total = docs.count()
     if not total:
@@ -129,22 +155,15 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", ro
     chosen = docs.where(F.pmod(F.xxhash64(text_col), F.lit(slots)) < min(slots, max(1, 4 * rows * slots // total))).limit(rows)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, rejected, n = [0] * len(rules), [0] * len(rules), 0
-        for batch in batches:
-            for text in batch.column(0):
-                n += 1
-                for k, rule in enumerate(rules):
-                    fresh = Text(text.as_py())  # so that each rule pays for its own features
-                    began = time.perf_counter_ns()
-                    rejected[k] += rule.rejects(fresh)
-                    spent[k] += time.perf_counter_ns() - began
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int64()), pa.array(spent, pa.int64()), pa.array(rejected, pa.int64()), pa.array([n] * len(rules), pa.int64())], names=["rule", "spent", "rejected", "n"])
-
-    got = chosen.select(text_col).mapInArrow(measure, "rule long, spent long, rejected long, n long")
+        spent, rejected = measured((text.as_py() for batch in batches for text in batch.column(0)), rules, base, features)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int64()), pa.array(spent, pa.int64()), pa.array(rejected, pa.int64())], names=["rule", "spent", "rejected"])
+
+    got = chosen.select(text_col).mapInArrow(measure, "rule long, spent long, rejected long")
     per = {r.rule: (r.rejected + 0.5) / (r.spent + 1) for r in got.groupBy("rule").agg(F.sum("spent").alias("spent"), F.sum("rejected").alias("rejected")).collect()}
     return [rules[k] for k in sorted(range(len(rules)), key=lambda k: -per.get(k, 0.0))]
 
 
+#: The features that are reported.
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -155,18 +174,17 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ..
     other, an empty table gives an empty result, other columns aren't read. Ties in the order of rules keep the
     order given.
     """
-    cascade = ordered(docs, rules, text_col, rows)
+    cascade = ordered(docs, rules, base, features, text_col, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Text(t.as_py()) for t in batch.column(1)]
             columns, failed, kept = [[] for _ in features], [], []
-            for text in texts:
+            for t in batch.column(1):
+                text = ready(t.as_py(), features)
                 for column, name in zip(columns, features, strict=True):
                     column.append(getattr(text, name))
                 failed.append(any(rule.rejects(text) for rule in base))
                 kept.append(not failed[-1] and not any(rule.rejects(text) for rule in cascade))
-                text.__dict__.clear()  # the words of one text at a time
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns), pa.array(failed), pa.array(kept)], names=["id", *features, "base_failed", "kept"])
 
     schema = "id long, " + "".join(f"{f} long, " for f in features) + "base_failed boolean, kept boolean"

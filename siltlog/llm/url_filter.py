@@ -44,9 +44,9 @@ def key_of(host: Column) -> Column:
 
 
 def _borders(urls: DataFrame, ranges: int, rows: int, total: int) -> list[bytes]:
-    slots = 1 << 20
-    chosen = urls.where(F.pmod(F.xxhash64("id", "key", "path"), F.lit(slots)) < min(slots, max(1, 2 * rows * slots // max(total, 1)))).limit(rows)
-    keys = sorted(r.key.encode() for r in chosen.select("key").collect())
+    """From a sample of all parts of the table, of about `rows` keys; twice as many are never reached but by chance."""
+    chosen = urls.select("key").sample(min(1.0, rows / max(total, 1)), seed=1).limit(2 * rows)
+    keys = sorted(r.key.encode() for r in chosen.collect())
     return [keys[k * len(keys) // ranges] for k in range(1, ranges)] if keys else []
 
 
@@ -127,7 +127,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     end = F.when(F.col("key") == "", F.lit("\U0010ffff")).otherwise(F.concat(F.expr("substring(key, 1, length(key) - 1)"), F.lit("/")))
     keyed = keyed.withColumn("parts", F.sequence(find("key")["first"], find(end)["last"]))
     right = keyed.select(F.explode("parts").alias("part"), "key", F.lit(False).alias("is_url"), F.lit(None).cast("long").alias("id"), "host", "path", "verdict")
-    dealt = left.unionByName(right).repartition(ranges, "part").sortWithinPartitions("part", "key", "is_url")
+    # a range is a partition: dealt by number, not by its hash
+    dealt = left.unionByName(right).repartitionById(ranges, F.col("part").cast("int")).sortWithinPartitions("part", "key", "is_url")
     return dealt.mapInArrow(lambda batches: sweep(batches, default), "id long, host string, path string, rule string, verdict string")
 
 

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import os
+import zlib
 
 import corpus_pipeline
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
 
 from siltlog.llm import exact_dedup, secrets, simhash, toxicity
 from siltlog.llm.queries import ORACLES, QUERIES
 
+from .test_operators import brute_base, brute_entropy
+from .test_similar import brute_near
+
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -47,8 +53,8 @@ def test_stages(spark):
                 by[t] = max(k, by.get(t, k))
             assert set(after) == set(by.values())
         elif name == "simhash_near_dedup":
-            groups = {r.id: r.component_id for r in simhash.near_groups(kept, words=4, distance=4).collect()}
-            assert set(after) == set(groups.values())
+            ids = sorted(before)
+            assert set(after) == {ids[k] for k in brute_near([before[k] for k in ids])}
         else:
             found = secrets.spans(kept).where("size(base) + size(added) > 0")
             assert {k for k in before if before[k] != after[k]} == {r.id for r in found.select("id").collect()}
@@ -83,3 +89,50 @@ def test_pipeline_of_no_documents(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_run_equals_plain_python(spark, tmp_path):
+    """run() over a table with nulls, copies, near copies, secrets, long texts and repeated rows."""
+    from tokenizers import Tokenizer
+
+    given = spark.read.parquet(f"{DATA}/documents.parquet")
+    some = given.where("doc_id < 80").collect()
+    lang, source = some[0].lang, some[0].source
+    row = lambda k, t: (k, t, lang, source, len(t or ""))
+    words = [f"w{k * 7919 % 1009}" for k in range(300)]
+    odd = [row(9001, None), row(9002, ""), row(9003, " ".join(words)), row(9004, " ".join([*words[:150], "changed", *words[151:]])), row(9005, " ".join(words))]
+    odd += [row(9006, "the password=abcdefgh12 of it"), row(9007, "x " + " " * 60_000 + "long run"), row(9008, "tail " * 30_000), row(9003, " ".join(words))]
+    docs = spark.createDataFrame([*map(tuple, some), *odd], given.schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    model = toxicity.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    read = toxicity.Reader(model.lexicon)
+    kept = {(r.doc_id, r.text) for r in docs.collect() if model.logit(*read(r.text)) < 0}
+    last = {}
+    for k, t in kept:
+        last[t or ""] = max(k, last.get(t or "", k))
+    kept = sorted((k, t) for t, k in last.items())
+    first = brute_near([t for _, t in kept])
+    kept = [x for k, x in enumerate(kept) if first[k] == k]
+    reader, size, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 2048, []
+    for k, text in kept:
+        done, out = 0, ""
+        for _, a, b in sorted([*brute_base(text), *brute_entropy(text, brute_base(text))], key=lambda s: s[1:]):
+            if a >= done:
+                out += text[done:a] + "<secret>"
+            done = max(done, b)
+        ids = [*reader.encode(out + text[done:], add_special_tokens=False).ids, 0]
+        edges = [0, *range(len(ids) % size or size, len(ids) + 1, size)]
+        for n, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            want.append((k, n, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())))
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in bins.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= size
