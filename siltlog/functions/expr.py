@@ -53,10 +53,6 @@ def clamp_budget(x: Column, most: int) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(most), x)).cast("long")
 
 
-def bounded_step(current: Column, target: Column, step: int) -> Column:
-    return F.greatest(current - step, F.least(current + step, target))
-
-
 def has_prefix(key: Column | str, prefix: str) -> Column:
     return F.startswith(column(key), F.lit(prefix))
 

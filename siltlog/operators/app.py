@@ -24,6 +24,17 @@ def orders_by_user(indexed: DataFrame, user: str, now: int) -> DataFrame:
     return page.select(F.split("key", ":")[1].alias("order_key"), F.from_json("value", ORDER).alias("r")).select("order_key", "r.*")
 
 
+def order_writes(placed: DataFrame, products: DataFrame, orders: DataFrame) -> DataFrame:
+    """What each accepted order writes, in one transaction (tx_id) whose last entry has the marker: the product with its
+    new stock, the order, and the order under its user. placed: rows of place_orders(); products: (sku, name); orders: (seq, user)."""
+    done = placed.where("accepted").join(products, "sku").join(orders, "seq")
+    order = F.to_json(F.struct(F.col("seq").cast("string").alias("id"), "user", "sku", "count"))
+    product = F.to_json(F.struct("sku", "name", F.col("stock_after").alias("stock")))
+    entry = lambda bucket, key, value, last: F.struct(F.lit(bucket).alias("bucket"), key.cast("string").alias("key"), value.alias("value"), F.lit(last).alias("status"))
+    three = F.array(entry("products", F.col("sku"), product, 0), entry("orders", F.col("seq"), order, 0), entry("user_orders", F.concat("user", F.lit(":"), F.col("seq").cast("string")), order, 1))
+    return done.select(F.col("seq").alias("tx_id"), F.posexplode(three).alias("pos", "e")).select("tx_id", F.col("pos").cast("long").alias("pos"), "e.*")
+
+
 def place_orders(stock: DataFrame, orders: DataFrame) -> DataFrame:
     """(sku, stock) and (seq, sku, count): orders in sequence per product; accepted while the stock lasts.
 

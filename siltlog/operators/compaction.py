@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -158,6 +158,13 @@ class ControllerConfig:
     cooldown_windows: int = 2
 
 
+def overridden(options: DataFrame, config: ControllerConfig = ControllerConfig()) -> DataFrame:
+    """Rows of options, of which any may be missing or null, as the controller takes them: only values over 0 replace a default."""
+    columns = [F.col(f.name) if f.name in options.columns else F.lit(None) for f in fields(config)]
+    rest = [c for c in options.columns if c not in {f.name for f in fields(config)}]
+    return options.select(*rest, *[F.when(c > 0, c).otherwise(getattr(config, f.name)).cast("double" if f.type == "float" else "long").alias(f.name) for f, c in zip(fields(config), columns, strict=True)])
+
+
 def evaluate(obs: DataFrame, config: ControllerConfig = ControllerConfig()) -> DataFrame:
     """obs (p99, target, garbage, data, write_amp, space_amp, phase) with budget, picker, reason and confidence."""
     heap = positive_ratio("garbage", "data")

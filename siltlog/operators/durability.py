@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltlog.functions.expr import entry_size
 from siltlog.functions.fold import ordered_fold
 
 #: Upper bounds of the commit latency histogram, in nanoseconds; longer ones count in a bucket reported as 1 s.
@@ -140,6 +141,28 @@ def latency_percentiles(commits: DataFrame, keys: list[str], latency: str = "lat
     return ranked.groupBy(*keys).agg(F.max("total").alias("count"), *[at(p) for p in percentiles], F.max("most").alias("max"))
 
 
+def metrics_snapshot(log: DataFrame, syncs: DataFrame, epochs: DataFrame, retries: DataFrame, merges: DataFrame) -> DataFrame:
+    """All 28 counters in one row.
+
+    syncs: (ok, latency); epochs: rows of epoch_metrics(); retries: rows of retry_streaks(); merges: (bytes_read, bytes_written)
+    of each run. Every part is aggregated to one row before it meets the others.
+    """
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    entries = log.withColumn("size", entry_size())
+    of_log = entries.agg(F.count("*").alias("entries_written"), total("size").alias("bytes_written"), (F.count_distinct("file_id") - 1).alias("rotations"))
+    of_tx = metrics(log).select("commits", F.col("entries_committed").alias("recovery_entries"), F.col("commits").alias("recovery_committed_tx"))
+    of_syncs = syncs.agg(F.count_if("ok").alias("syncs"), F.count_if(~F.col("ok")).alias("sync_errors"), total("latency").alias("total_sync_nanos"))
+    of_merges = merges.agg(F.count("*").alias("merge_runs"), total("bytes_read").alias("merge_bytes_read"), total("bytes_written").alias("merge_bytes_written"))
+    sizes = ["size_1", "size_2", "size_3_4", "size_5_8", "size_9_plus"]
+    of_epochs = epochs.agg(
+        total("epochs").alias("group_epochs"), total("waiters").alias("group_waiters"), F.max("max_size").alias("group_max_size"), F.max("last_epoch").alias("group_last_epoch"),
+        *[total(c).alias(f"group_{c}") for c in sizes], F.max("frontier").alias("durable_frontier"),
+    )
+    after = ["after_1", "after_2", "after_3", "after_4_plus"]
+    of_retries = retries.agg(total("failures").alias("durability_retries"), total("retries_ok").alias("durability_retry_ok"), *[total(c).alias(f"durability_retry_{c}") for c in after])
+    return of_log.join(of_tx).join(of_syncs).join(of_merges).join(of_epochs).join(of_retries)  # one row each
+
+
 def metrics(log: DataFrame) -> DataFrame:
     """Counters of a log in one pass: entries, commits, partial transactions, puts, deletes, bytes."""
     by_tx = log.groupBy("tx_id").agg(F.count("*").alias("n"), F.max("status").alias("marked"), F.count_if(F.col("flag") == 0).alias("deletes"), F.sum(F.octet_length("value")).alias("bytes"))

@@ -129,6 +129,14 @@ def overlay(sorted_table: DataFrame, write_ahead: DataFrame) -> DataFrame:
     return both.groupBy("key").agg(F.max_by("value", F.struct("_level", "seq")).alias("value"))
 
 
+def flush(sorted_table: DataFrame, write_ahead: DataFrame) -> DataFrame:
+    """The sorted table (key, value, seq) that takes the place of both; the write-ahead log is empty after it. Written in
+    key order, it is what a store that is opened again reads first."""
+    both = sorted_table.withColumn("_level", F.lit(0)).unionByName(write_ahead.withColumn("_level", F.lit(1)))
+    last = both.groupBy("key").agg(F.max_by(F.struct("value", "seq"), F.struct("_level", "seq")).alias("_last"))
+    return last.select("key", "_last.value", "_last.seq").orderBy("key")
+
+
 def replicated_append(batches: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """(keys, batch, order, index, term, command): the entries held in the end, and how each batch ended.
 
@@ -162,6 +170,13 @@ def replicated_append(batches: DataFrame, keys: list[str], order: list[str]) ->
     return ordered_fold(batches.select(*columns), keys, ["batch", *order], lambda: {"terms": [], "batch": None, "failed": False}, step, schema)
 
 
+def held_entries(appended: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, index, term) that each replicated log holds after all batches: of an index the last entry put there, up to
+    the last index. A lookup is a filter on the index."""
+    put = appended.where(F.col("effect").isin("appended", "replaced")).groupBy(*keys, "index").agg(F.max_by("term", order).alias("term"))
+    return put.join(last_index(appended, keys, order), keys).where(F.col("index") <= F.col("last_index")).drop("last_index")
+
+
 def last_index(appended: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last index of each replicated log after all batches."""
     return appended.groupBy(*keys).agg(F.max_by("last_index", order).alias("last_index"))

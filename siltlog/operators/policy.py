@@ -112,6 +112,12 @@ def recommend(phases: DataFrame) -> DataFrame:
     return phases.join(F.broadcast(rules), "phase")
 
 
+def reset(applied: DataFrame, configured_mode: str, configured_lifecycle: bool) -> DataFrame:
+    """(mode, lifecycle) in force, set back to what was configured, with what that changes."""
+    changed = {"compaction_changed": F.col("mode") != configured_mode, "placement_changed": F.col("lifecycle") != F.lit(configured_lifecycle)}
+    return applied.withColumns(changed).withColumns({"mode": F.lit(configured_mode), "lifecycle": F.lit(configured_lifecycle), "outcome": F.lit("restored configured policies")})
+
+
 def autotune(recommended: DataFrame, configured_mode: str, configured_lifecycle: bool, value_log: bool, min_confidence: float = 0.7, apply_compaction: bool = True, apply_placement: bool = True) -> DataFrame:
     """What applying each recommendation, by itself, would set; below the least confidence nothing changes."""
     enough = (F.col("confidence") >= min_confidence) & (F.col("phase") != "unknown")

@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltlog.functions.expr import has_prefix, is_visible, trim_prefix
+from siltlog.operators.snapshot import committed_log, latest, without_deleted_buckets
 from siltlog.sources.log import NOW
 
 
-def get_many(indexed: DataFrame, requests: DataFrame, now: int = NOW) -> DataFrame:
-    """(bucket, key) requests with outcome and value: 'found' or one of three kinds of miss."""
-    buckets = indexed.select("bucket").distinct().withColumn("_bucket", F.lit(True))
-    rows = indexed.select("bucket", "key", "value", "flag", "ttl", "ts", F.lit(True).alias("_key"))
+def get_many(log: DataFrame, requests: DataFrame, now: int = NOW) -> DataFrame:
+    """(bucket, key) requests with outcome and value: 'found' or one of three kinds of miss. Only entries of the keys asked
+    for are ranked."""
+    entries = without_deleted_buckets(committed_log(log))
+    asked = requests.select("bucket", "key").distinct()
+    buckets = entries.select("bucket").join(asked.select("bucket").distinct(), "bucket", "left_semi").distinct().withColumn("_bucket", F.lit(True))
+    rows = latest(entries.join(asked, ["bucket", "key"], "left_semi")).select("bucket", "key", "value", "flag", "ttl", "ts", F.lit(True).alias("_key"))
     joined = requests.join(rows, ["bucket", "key"], "left").join(buckets, "bucket", "left")
     outcome = F.when(F.col("_bucket").isNull(), "bucket not found").when(F.col("_key").isNull(), "key not found").when(is_visible(now), "found").otherwise("not visible")
     return joined.select(*requests.columns, outcome.alias("outcome"), F.when(outcome == "found", F.col("value")).alias("value"))

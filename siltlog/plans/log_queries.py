@@ -111,7 +111,7 @@ _REQUESTS = "req AS (SELECT 'b' || CAST(id % 5 AS VARCHAR) AS bucket, 'u' || lpa
 
 @query("get_hit", over_log("SELECT bucket, key, value FROM req JOIN live USING (bucket, key)", _REQUESTS))
 def get_hit(spark, sf_dir):
-    return scan.get_many(_index(spark, sf_dir), _requests(spark)).where("outcome = 'found'").select("bucket", "key", "value")
+    return scan.get_many(load_log(spark, sf_dir), _requests(spark)).where("outcome = 'found'").select("bucket", "key", "value")
 
 
 @query(
@@ -123,7 +123,7 @@ def get_hit(spark, sf_dir):
     ),
 )
 def get_miss_reason(spark, sf_dir):
-    return scan.get_many(_index(spark, sf_dir), _requests(spark))
+    return scan.get_many(load_log(spark, sf_dir), _requests(spark))
 
 
 @query("range_inclusive", over_log("SELECT key, value FROM live WHERE bucket = 'b1' AND key BETWEEN 'u000020' AND 'u000101' ORDER BY key"))

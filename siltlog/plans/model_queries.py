@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltlog.operators import app, models, scan, snapshot
-from siltlog.plans.registry import query
-from siltlog.sources.log import DELETE, NOW, SET, read_table
+from siltlog.plans.registry import ORACLES, query
+from siltlog.sources.log import DELETE, NOW, SET, VALUE, read_table
 
 _KEY = "'key-' || lpad(CAST({} AS VARCHAR), 6, '0')"
 
@@ -171,7 +171,8 @@ def session_lookup(spark, sf_dir):
     value = F.to_json(F.struct(F.col("c_name").alias("user"), F.md5("c_name").alias("token")))
     ttl = F.when(F.col("c_custkey") % 7 == 0, 10).otherwise(0).cast("long")
     index = customers.select(F.lit("sessions").alias("bucket"), F.col("c_custkey").cast("string").alias("key"), value.alias("value"), F.lit(SET).alias("flag"), ttl.alias("ttl"), F.lit(NOW - 60).alias("ts"))
-    found = scan.get_many(index, index.select("bucket", "key")).where("outcome = 'found'")
+    log = index.withColumns({"file_id": F.lit(0).cast("long"), "pos": F.col("key").cast("long"), "status": F.lit(1), "ds": F.lit(VALUE), "tx_id": F.lit(0).cast("long")})
+    found = scan.get_many(log, index.select("bucket", "key")).where("outcome = 'found'")
     return app.records(found, "sessions", app.SESSION).select("user", "token")
 
 
@@ -220,3 +221,33 @@ def put_objects(spark, sf_dir):
     gone = put.where("pos % 5 = 0").withColumns({"file_id": F.lit(1).cast("long"), "value": F.lit(None).cast("string"), "flag": F.lit(DELETE), "tx_id": F.lit(2).cast("long")})
     live = snapshot.live(snapshot.index_plain(put.unionByName(gone)))
     return app.records(live, "objects", "name string, region long").select("key", "name", "region")
+
+
+@query("raft_entries", f"""SELECT user_id, "index", term FROM (SELECT user_id, "index", arg_max(term, event_id) AS term FROM ({_RAFT}) WHERE effect IN ('appended', 'replaced') GROUP BY ALL)
+    JOIN (SELECT user_id, arg_max(last_index, event_id) AS last_index FROM ({_RAFT}) GROUP BY 1) USING (user_id) WHERE "index" <= last_index""")
+def raft_entries(spark, sf_dir):
+    return models.held_entries(models.replicated_append(_replicated(spark, sf_dir), ["user_id"], ["event_id"]), ["user_id"], "event_id")
+
+
+@query(
+    "lsm_flush",
+    """SELECT key, value, seq FROM (SELECT user_id AS key, props AS value, event_id AS seq, [1, 2, 0][event_id % 3 + 1] AS level FROM events) QUALIFY row_number() OVER (PARTITION BY key ORDER BY level DESC, seq DESC) = 1""",
+)
+def lsm_flush(spark, sf_dir):
+    """Two flushes: what a store holds that has been filled, flushed, opened again, filled and flushed once more."""
+    rows = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("props").alias("value"), F.col("event_id").alias("seq"))
+    first = models.flush(rows.where("seq % 3 = 2"), rows.where("seq % 3 = 0"))
+    return models.flush(first, rows.where("seq % 3 = 1"))
+
+
+@query(
+    "place_order_writes",
+    f"""SELECT tx_id, CAST(pos AS BIGINT) AS pos, bucket, key, value, status FROM (SELECT p.seq AS tx_id, unnest([0, 1, 2]) AS pos, unnest(['products', 'orders', 'user_orders']) AS bucket, unnest([p.sku, CAST(p.seq AS VARCHAR), 'u' || CAST(o.o_custkey AS VARCHAR) || ':' || CAST(p.seq AS VARCHAR)]) AS key,
+    unnest(['{{"sku":"' || p.sku || '","name":"' || t.p_name || '","stock":' || CAST(p.stock_after AS VARCHAR) || '}}', '{{"id":"' || CAST(p.seq AS VARCHAR) || '","user":"u' || CAST(o.o_custkey AS VARCHAR) || '","sku":"' || p.sku || '","count":' || CAST(p.count AS VARCHAR) || '}}',
+      '{{"id":"' || CAST(p.seq AS VARCHAR) || '","user":"u' || CAST(o.o_custkey AS VARCHAR) || '","sku":"' || p.sku || '","count":' || CAST(p.count AS VARCHAR) || '}}']) AS value, unnest([0, 0, 1]) AS status
+    FROM ({ORACLES["place_order_fold"]}) p JOIN orders o ON o.o_orderkey = p.seq JOIN part t ON CAST(t.p_partkey AS VARCHAR) = p.sku WHERE p.accepted)""",
+)
+def place_order_writes(spark, sf_dir):
+    products = read_table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("sku"), F.col("p_name").alias("name"))
+    orders = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user"))
+    return app.order_writes(place_order_fold(spark, sf_dir), products, orders)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from siltlog.functions.expr import byte_length, decode_pointer, encode_pointer
 from siltlog.operators import compaction, durability, policy, valuelog
-from siltlog.plans.registry import query
-from siltlog.plans.sqltext import DOCS, OPS, OVERWRITES, VLOG, over_log, over_ops, over_values, over_windows
+from siltlog.plans import log_queries  # noqa: F401  (its SQL is part of the metrics)
+from siltlog.plans.registry import ORACLES, query
+from siltlog.plans.sqltext import DOCS, OPS, OVERWRITES, SIZED, VLOG, over_log, over_ops, over_values, over_windows
 from siltlog.sources.log import load_log, read_table
 
 THRESHOLD, SEGMENT_BYTES, LEAST_STALE = 1024, 65536, 0.3
@@ -371,6 +372,44 @@ def metrics_snapshot(spark, sf_dir):
     return durability.metrics(load_log(spark, sf_dir))
 
 
+_SYNCS = "SELECT event_type <> 'error' AND event_id % 3 <> 0 AS ok, CAST(floor(value * 500000) AS BIGINT) AS latency FROM events"
+
+
+@query(
+    "metrics_all",
+    f"""SELECT l.*, t.*, s.*, m.*, e.*, r.* FROM
+    (SELECT CAST(count(*) AS BIGINT) AS entries_written, CAST(sum(size) AS BIGINT) AS bytes_written, count(DISTINCT file_id) - 1 AS rotations FROM ({over_log("SELECT file_id, size FROM sized", SIZED)})) l,
+    (SELECT commits, entries_committed AS recovery_entries, commits AS recovery_committed_tx FROM ({ORACLES["metrics_snapshot"]})) t,
+    (SELECT count(*) FILTER (ok) AS syncs, count(*) FILTER (NOT ok) AS sync_errors, CAST(sum(latency) AS BIGINT) AS total_sync_nanos FROM ({_SYNCS})) s,
+    (SELECT CAST(count(*) AS BIGINT) AS merge_runs, CAST(sum(bytes_read) AS BIGINT) AS merge_bytes_read, CAST(sum(bytes_written) AS BIGINT) AS merge_bytes_written FROM ({ORACLES["merge_byte_counters"]})) m,
+    (SELECT CAST(sum(epochs) AS BIGINT) AS group_epochs, CAST(sum(waiters) AS BIGINT) AS group_waiters, max(max_size) AS group_max_size, max(last_epoch) AS group_last_epoch, CAST(sum(size_1) AS BIGINT) AS group_size_1,
+      CAST(sum(size_2) AS BIGINT) AS group_size_2, CAST(sum(size_3_4) AS BIGINT) AS group_size_3_4, CAST(sum(size_5_8) AS BIGINT) AS group_size_5_8, CAST(sum(size_9_plus) AS BIGINT) AS group_size_9_plus, max(frontier) AS durable_frontier FROM ({ORACLES["group_epoch_metrics"]})) e,
+    (SELECT (SELECT count(*) FROM ({_SYNCS}) WHERE NOT ok) AS durability_retries, CAST(sum(retries_ok) AS BIGINT) AS durability_retry_ok, CAST(sum(after_1) AS BIGINT) AS durability_retry_after_1, CAST(sum(after_2) AS BIGINT) AS durability_retry_after_2,
+      CAST(sum(after_3) AS BIGINT) AS durability_retry_after_3, CAST(sum(after_4_plus) AS BIGINT) AS durability_retry_after_4_plus FROM ({ORACLES["retry_streaks"]})) r""",
+)
+def metrics_all(spark, sf_dir):
+    events, log = read_table(spark, sf_dir, "events"), load_log(spark, sf_dir)
+    syncs = events.select("user_id", "event_id", ((F.col("event_type") != "error") & (F.col("event_id") % 3 != 0)).alias("ok"), F.floor(F.col("value") * 500_000).alias("latency"))
+    failures = syncs.groupBy("user_id").agg(F.count_if(~F.col("ok")).alias("failures"))
+    retries = durability.retry_streaks(syncs.select("user_id", "event_id", "ok"), ["user_id"], "event_id").join(failures, "user_id")
+    merges = compaction.merge_bytes(log, log.where("file_id % 3 = 0").select("file_id").distinct())
+    return durability.metrics_snapshot(log, syncs, group_epoch_metrics(spark, sf_dir), retries, merges)
+
+
+_OPTIONS = [(0, 0, 0.0, 0.0, 0, 0, 0, 0), (1, 1000, 0.0, 2.5, 0, 0, 5, -1), (2, -5, 1.5, 0.0, 4096, 8192, 0, 3), (3, 1, 9.0, 9.0, 1, 1, 1, 1)]
+_OPTION_NAMES = ["min_garbage", "emergency_space_amp", "high_write_amp", "base_budget", "max_budget", "stable_windows", "cooldown_windows"]
+
+
+@query(
+    "slo_overrides",
+    "SELECT CAST(inst AS BIGINT) AS inst, " + ", ".join(f"CAST(CASE WHEN {n} > 0 THEN {n} ELSE {getattr(compaction.ControllerConfig, n)} END AS {'DOUBLE' if 'amp' in n else 'BIGINT'}) AS {n}" for n in _OPTION_NAMES)
+    + f" FROM (VALUES {', '.join(map(str, _OPTIONS))}) t(inst, {', '.join(_OPTION_NAMES)})",
+)
+def slo_overrides(spark, sf_dir):
+    kinds = ["long" if "amp" not in n else "double" for n in _OPTION_NAMES]
+    return compaction.overridden(spark.createDataFrame(_OPTIONS, "inst long, " + ", ".join(f"{n} {k}" for n, k in zip(_OPTION_NAMES, kinds, strict=True))))
+
+
 # Phases.
 
 
@@ -428,6 +467,14 @@ def autotune_decision(spark, sf_dir):
     return done.select("inst", "win", "mode", "lifecycle", "compaction_changed", "placement_changed", "outcome")
 
 
+@query(
+    "autotune_reset",
+    f"""SELECT inst, win, 'file-id' AS mode, false AS lifecycle, mode <> 'file-id' AS compaction_changed, lifecycle AS placement_changed, 'restored configured policies' AS outcome FROM ({ORACLES["autotune_decision"]})""",
+)
+def autotune_reset(spark, sf_dir):
+    return policy.reset(autotune_decision(spark, sf_dir), "file-id", False)
+
+
 @query("policy_audit_ring", over_windows("SELECT inst, win, cur AS phase, row_number() OVER (PARTITION BY inst ORDER BY win) AS sequence FROM st QUALIFY row_number() OVER (PARTITION BY inst ORDER BY win DESC) <= 16", _OBSERVED))
 def policy_audit_ring(spark, sf_dir):
     return compaction.last_events(_phases(spark, sf_dir).select("inst", "win", "phase"), ["inst"], "win", 16)

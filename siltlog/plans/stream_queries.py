@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,17 @@ from siltlog.streaming import state
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """A new folder in spark.checkpoint.dir, removed when the application ends. Where that is unset one of our own, but only on
+    a single machine: on a cluster every executor would write to its own disk."""
     sc = spark.sparkContext
-    return (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="siltlog-")).rstrip("/")
+    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not shared:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="siltlog-")
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/siltlog-stream-{uuid.uuid4().hex}")
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
 
 
 @query("stream_index", over_log("SELECT bucket, key, flag, CAST(ttl AS BIGINT) AS ttl, ts, tx_id, file_id, pos FROM idx"))

@@ -20,12 +20,20 @@ class IndexStream:
     Each micro-batch joins the new entries with the waiting ones, moves those of committed transactions into the index,
     where an entry replaces another of its key only if it comes later in the log, and writes both tables under the
     number of the batch. Replaying a batch after a failure writes the same folder again, so nothing counts twice. A
-    marker that came in an earlier batch is kept with the waiting entries' table, for entries that arrive late.
+    marker that came in an earlier batch is kept with the waiting entries' table, for entries that arrive late. A keeper
+    that is made anew on the folder goes on from the newest batch that is complete; what came before the last but one is removed.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.batch = -1
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._path, self._fs = path, path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        # the waiting entries are written last
+        self.batch = max((b for b in self._batches("waiting") if self._fs.exists(path(f"{self._at('waiting', b)}/_SUCCESS"))), default=-1)
+
+    def _batches(self, kind: str) -> list[int]:
+        at = self._path(f"{self.folder}/{kind}")
+        return [int(f.getPath().getName().removeprefix("batch=")) for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
 
     def _at(self, kind: str, batch: int) -> str:
         return f"{self.folder}/{kind}/batch={batch:09d}"
@@ -46,6 +54,10 @@ class IndexStream:
         latest(self._read("index", before, LOG_SCHEMA).unionByName(done)).select(columns).write.mode("overwrite").parquet(self._at("index", batch))
         waiting.join(marks, "tx_id", "left_anti").select(columns).write.mode("overwrite").parquet(self._at("waiting", batch))
         self.batch = batch
+        for kind in ("marks", "index", "waiting"):  # the batch before stays, in case this one is replayed
+            for old in self._batches(kind):
+                if old < batch - 1:
+                    self._fs.delete(self._path(self._at(kind, old)), True)
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

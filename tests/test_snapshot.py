@@ -248,3 +248,25 @@ def test_recovery_scenarios(spark):
         ("after-commit-marker", "first"): "v1", ("after-commit-marker", "second"): "v2", ("uncommitted-newer-overwrite", "key"): "old",
         ("committed-tombstone", "key"): None, ("expired-value", "expired"): None,
     }
+
+
+def test_get_many(spark):
+    rows = [put("a", "1", 1), put("b", "2", 2), delete("b", 3), put("a", "3", 4), put("c", "x", 5, status=0), put("z", "gone", 6, bucket="d"), ("d", "", None, 16, 1, 0, NOW, 7)]
+    log = log_of(spark, rows).withColumn("ds", F.when(F.col("flag") == 16, 1).otherwise(0))
+    asked = spark.createDataFrame([("b", "a"), ("b", "b"), ("b", "c"), ("d", "z"), ("none", "a"), ("b", "a")], "bucket string, key string")
+    got = sorted((r.bucket, r.key, r.outcome, r.value) for r in scan.get_many(log, asked, NOW).collect())
+    assert got == [("b", "a", "found", "3")] * 2 + [("b", "b", "not visible", None), ("b", "c", "key not found", None), ("d", "z", "bucket not found", None), ("none", "a", "bucket not found", None)]
+
+
+def test_index_stream_goes_on_after_a_restart(spark, tmp_path):
+    from siltlog.streaming.state import IndexStream
+
+    batches = [log_of(spark, rows) for rows in ([put("a", "1", 1)], [put("b", "2", 2)], [put("a", "3", 3)], [put("c", "4", 4)])]
+    batches = [b.withColumn("file_id", F.lit(n).cast("long")) for n, b in enumerate(batches)]
+    for n, batch in enumerate(batches):
+        keeper = IndexStream(spark, f"file://{tmp_path}/state")  # a new one for each batch
+        assert keeper.batch == n - 1
+        keeper.apply(batch, n)
+    again = IndexStream(spark, f"file://{tmp_path}/state")
+    assert {(r.key, r.value) for r in again.index().collect()} == {("a", "3"), ("b", "2"), ("c", "4")}
+    assert sorted(again._batches("index")) == [2, 3]
