@@ -2,11 +2,12 @@
 
 1. Lexicon: word forms and word beginnings that occur in toxic training texts far more often than in others
    (a likelihood-ratio test on counts of texts, near copies counting once), counted by an aggregation.
-2. Voters: slices of the lexicon, each voting when its entries are a certain share of a text's words, pattern
-   voters on the share of words in the lexicon, and the given label as one more voter.
+2. Voters: slices of the lexicon's whole words and of its word beginnings, each voting when its entries are a certain
+   share of a text's words; voters on patterns of the text that need no lexicon (PATTERNS); one on a lexicon word
+   beside the second person; voters on the share of words in the lexicon; and the given label as one more.
 3. Label model: expectation maximisation over a hidden class estimates how often each voter fires in either
-   class; the correlations of the voters within the classes, estimated next, divide the weight of voters that
-   say the same, and the fit is repeated with those weights.
+   class; a voter that fires less often in the toxic one abstains. The correlations of the voters within the classes,
+   estimated next, divide the weight of voters that say the same, and the fit is repeated with those weights.
 4. Classifier: logistic regression on the shares of the lexicon's entries, trained on the posterior labels. Shares,
    not occurrences: a long text isn't toxic for a single word that happens to look like one.
 
@@ -17,6 +18,7 @@ them), and the lexicon has at most LEXICON_ENTRIES entries (131 on a tenth of a
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -35,6 +37,18 @@ SAMPLE_ROWS = 10_000
 #: Entries of the lexicon, the least number of toxic texts with an entry, how many times more often than others.
 LEXICON_ENTRIES, LEAST_TEXTS, LEAST_ODDS = 4096, 3, 3.0
 LEXICON_VOTERS = 24
+#: Voters on a pattern of the text: what they look for and the share of words from which on they vote.
+PATTERNS = {
+    "shouted words": (re.compile(r"(?<!\w)[^\W\d_a-z]{4,}(?!\w)"), 0.1),
+    "repeated marks": (re.compile(r"[!?]{2,}"), 0.01),
+    "masked letters": (re.compile(r"[^\W\d_][*#]+(?=[^\W\d_])|[^\W\d_][*#]{2,}"), 0.005),
+    "look-alike spelling": (re.compile(r"[^\W\d_][013457@$]+(?=[^\W\d_])"), 0.005),
+    "drawn-out letters": (re.compile(r"([^\W\d_])\1\1+"), 0.005),
+    "spaced letters": (re.compile(r"(?<!\w)(?:[^\W\d_][ .-]){3,}[^\W\d_](?!\w)"), 0.005),
+    "second person": (re.compile(r"(?<!\w)(?:you|your|yours|du|dich|dein|deine|ihr|euch|tu|toi|ton|vous|tú|usted|tuyo)(?!\w)", re.I), 0.02),
+}
+#: Words between a lexicon word and the second person that still count as beside it.
+BESIDE = 3
 #: The share of a text's words at which an entry counts in full.
 FULL_SHARE = 0.02
 #: Words of the shingles by which near copies in the sample are told.
@@ -114,16 +128,17 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
     return written(texts, "labelled-texts").withColumn("family", _family("text")).dropDuplicates(["family", "toxic"])
 
 
-@F.pandas_udf(T.LongType())
+@F.pandas_udf(T.StringType())
 def _family(texts):
-    """The least checksum of a text's shingles: near copies mostly share it, other texts hardly ever."""
+    """Two minhashes of a text's shingles: near copies mostly share both, texts with a common passage hardly ever."""
     import pandas as pd
 
-    def least(text: str | None) -> int:
+    def least(text: str | None) -> str:
         words = (text or "").lower().split()
-        return min((zlib.crc32(" ".join(words[k : k + FAMILY_WORDS]).encode()) for k in range(max(1, len(words) - FAMILY_WORDS + 1))))
+        h = np.array([zlib.crc32(" ".join(words[k : k + FAMILY_WORDS]).encode()) for k in range(max(1, len(words) - FAMILY_WORDS + 1))], np.uint32)
+        return f"{h.min():x}-{(h * np.uint32(0x9E3779B1)).min():x}"
 
-    return pd.Series([least(t) for t in texts], dtype="int64")
+    return pd.Series([least(t) for t in texts], dtype="object")
 
 
 def lexicon(texts: DataFrame) -> list[str]:
@@ -161,35 +176,55 @@ def lexicon(texts: DataFrame) -> list[str]:
     return [r.entry for r in got.orderBy(F.desc("ratio"), "entry").limit(LEXICON_ENTRIES).select("entry").collect()]
 
 
-#: A row of the training data: words, words in the lexicon, entries and counts, label.
-Row = tuple[int, int, Counter, int]
-
-
-def votes(rows: list[Row], entries: int) -> np.ndarray:
-    """One column per voter: slices of the lexicon, four patterns, the given label."""
-    slices = min(LEXICON_VOTERS, max(entries, 1))
-    out = np.zeros((len(rows), slices + 5), bool)
-    for k, (words, found, hits, y) in enumerate(rows):
+#: A row of the training data: words, words in the lexicon, entries and counts, patterns found, label.
+Row = tuple[int, int, Counter, tuple[bool, ...], int]
+
+
+def patterns(text: str | None, read: Reader) -> tuple[bool, ...]:
+    """Whether each of PATTERNS is found often enough, and whether a lexicon word stands beside the second person."""
+    text = text or ""
+    words = text.split()
+    out = [sum(1 for _ in p.finditer(text)) >= max(1, least * len(words)) for p, least in PATTERNS.values()]
+    person, last, beside = PATTERNS["second person"][0], {}, False
+    for k, word in enumerate(words):
+        for kind, there in (("person", person.search(word)), ("entry", read.cache.get(word) or (word not in read.cache and read.word(word)))):
+            if there:
+                last[kind] = k
+        beside = beside or (len(last) == 2 and abs(last["person"] - last["entry"]) <= BESIDE)
+    return (*out, beside)
+
+
+def votes(rows: list[Row], entries: list[str]) -> np.ndarray:
+    """One column per voter: slices of whole words, slices of beginnings, patterns, four shares, the given label."""
+    half = LEXICON_VOTERS // 2
+    kinds = [[k for k, e in enumerate(entries) if e.startswith("=") == whole] for whole in (True, False)]
+    sizes = [min(half, len(kind)) for kind in kinds]
+    slices = sum(sizes)
+    voter = {entry: nth % size + first for kind, size, first in zip(kinds, sizes, (0, sizes[0]), strict=True) for nth, entry in enumerate(kind)}
+    out = np.zeros((len(rows), slices + len(PATTERNS) + 1 + 5), bool)
+    for k, (words, found, hits, marks, y) in enumerate(rows):
         by_slice = np.zeros(slices)
         for entry, n in hits.items():
-            by_slice[entry % slices] += n
+            by_slice[voter[entry]] += n
         out[k, :slices] = by_slice >= max(1, 0.1 * FULL_SHARE * words)
-        out[k, slices:] = (*(found >= max(1, f * FULL_SHARE * words) for f in (0.2, 0.4, 0.6)), found >= 2 and found >= 0.8 * FULL_SHARE * words, y == 1)
+        out[k, slices:-5] = marks
+        out[k, -5:] = (*(found >= max(1, f * FULL_SHARE * words) for f in (0.2, 0.4, 0.6)), found >= 2 and found >= 0.8 * FULL_SHARE * words, y == 1)
     return out
 
 
-def label_model(fires: np.ndarray, start: np.ndarray, steps: int = 25) -> tuple[np.ndarray, np.ndarray]:
+def label_model(fires: np.ndarray, start: np.ndarray, steps: int = 25, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of the hidden class for each row, and each voter's weight (1 if no other voter says the same)."""
     weight, q = np.ones(fires.shape[1]), start
     x = fires.astype(float)
-    for fit in range(2):
+    for fit in range(rounds):
         for _ in range(steps):
             on = (x.T @ q + 0.5) / (q.sum() + 1)
             off = (x.T @ (1 - q) + 0.5) / ((1 - q).sum() + 1)
             prior = np.log((q.sum() + 1) / ((1 - q).sum() + 1))
-            logit = prior + x @ (weight * np.log(on / off)) + (1 - x) @ (weight * np.log((1 - on) / (1 - off)))
+            says = np.where(on > off, weight, 0.0)
+            logit = prior + x @ (says * np.log(on / off)) + (1 - x) @ (says * np.log((1 - on) / (1 - off)))
             q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if not fit:
+        if fit < rounds - 1:
             rest = x - (q[:, None] * on + (1 - q)[:, None] * off)
             cov = rest.T @ rest / len(x)
             scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
@@ -199,9 +234,9 @@ def label_model(fires: np.ndarray, start: np.ndarray, steps: int = 25) -> tuple[
 
 def regression(rows: list[Row], labels: np.ndarray, entries: int, steps: int = 400, ridge: float = 0.3) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by gradient steps (Adam) over sparse rows."""
-    at = np.array([k for k, (_, _, hits, _) in enumerate(rows) for _ in range(len(hits) + 1)], np.int64)
-    of = np.array([e for _, _, hits, _ in rows for e in (*hits, entries)], np.int64)
-    x = np.array([v for words, found, hits, _ in rows for v in (*(share(n, words) for n in hits.values()), share(found, words))])
+    at = np.array([k for k, (_, _, hits, *_) in enumerate(rows) for _ in range(len(hits) + 1)], np.int64)
+    of = np.array([e for _, _, hits, *_ in rows for e in (*hits, entries)], np.int64)
+    x = np.array([v for words, found, hits, *_ in rows for v in (*(share(n, words) for n in hits.values()), share(found, words))])
     params = np.zeros(entries + 2)
     params[-1] = math.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1))
     shrink = np.append(np.full(entries + 1, ridge), 0.0)
@@ -227,17 +262,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             got = [read(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([n for n, _, _ in got], pa.int64()), pa.array([n for _, n, _ in got], pa.int64())]
-                + [pa.array([list(h) for *_, h in got], pa.list_(pa.int64())), pa.array([list(h.values()) for *_, h in got], pa.list_(pa.int64()))],
-                names=["id", "toxic", "words", "found", "entries", "counts"],
+                + [pa.array([list(h) for *_, h in got], pa.list_(pa.int64())), pa.array([list(h.values()) for *_, h in got], pa.list_(pa.int64()))]
+                + [pa.array([patterns(t.as_py(), read) for t in batch.column(1)], pa.list_(pa.bool_()))],
+                names=["id", "toxic", "words", "found", "entries", "counts", "patterns"],
             )
 
-    got = texts.select("id", "text", "toxic").mapInArrow(features, "id long, toxic int, words long, found long, entries array<long>, counts array<long>").collect()  # at most 2 * rows
+    got = texts.select("id", "text", "toxic").mapInArrow(features, "id long, toxic int, words long, found long, entries array<long>, counts array<long>, patterns array<boolean>").collect()  # at most 2 * rows
     got.sort(key=lambda r: (r.id, r.words, r.toxic))
-    data = [(r.words, r.found, Counter(dict(zip(r.entries, r.counts, strict=True))), r.toxic) for r in got]
+    data = [(r.words, r.found, Counter(dict(zip(r.entries, r.counts, strict=True))), tuple(r.patterns), r.toxic) for r in got]
     if not entries:
         y = [t for *_, t in data]
         return Model({}, np.zeros(1), math.log((sum(y) + 0.5) / (len(y) - sum(y) + 0.5)))
-    fires = votes(data, len(entries))
+    fires = votes(data, entries)
     start = 0.1 + 0.8 * fires[:, -5:].mean(axis=1)
     posterior, _ = label_model(fires, start)
     weights, bias = regression(data, posterior, len(entries))

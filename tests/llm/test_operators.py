@@ -525,6 +525,59 @@ def test_label_model_discounts_copies():
     assert ((posterior >= 0.5) == y).mean() > 0.8
 
 
+def test_label_model_takes_wrong_labels_back():
+    """With a sixth of the labels turned, the posterior of the voters is nearer the truth than the labels are; voters
+    without meaning don't change that."""
+    rnd = np.random.default_rng(3)
+    y = rnd.random(4000) < 0.25
+    vote = lambda on, off: rnd.random(4000) < np.where(y, on, off)
+    label = y ^ (rnd.random(4000) < 1 / 6)
+    fires = np.column_stack([*(vote(0.5, 0.05) for _ in range(8)), *(vote(0.2, 0.2) for _ in range(6)), vote(0.05, 0.3), label])
+    posterior, _ = toxicity.label_model(fires, 0.1 + 0.8 * fires[:, [0, 1, 2, 3, -1]].mean(axis=1))
+    assert ((posterior >= 0.5) == y).mean() > 0.95 > 0.9 > (label == y).mean()
+
+
+@pytest.mark.parametrize(
+    ("name", "text"),
+    [
+        ("shouted words", "GO AWAY FROM HERE NOW PLEASE"),
+        ("repeated marks", "what is this!!! really?!"),
+        ("masked letters", "such an id**t and f***"),
+        ("look-alike spelling", "such an 1d10t, a l0ser"),
+        ("drawn-out letters", "you are sooooo bad"),
+        ("spaced letters", "what an i d i o t that is"),
+        ("second person", "You know your place"),
+    ],
+)
+def test_text_patterns(name, text):
+    at = list(toxicity.PATTERNS).index(name)
+    read = toxicity.Reader({})
+    assert toxicity.patterns(text, read)[at]
+    assert not any(toxicity.patterns("A plain sentence of 12 words on NASA, its 3 probes, and so on.", read))
+    assert not any(found for t in (None, "", " \n") for found in toxicity.patterns(t, read))
+
+
+def test_lexicon_word_beside_the_second_person():
+    read = toxicity.Reader({"=idiot": 0})
+    assert toxicity.patterns("so you utter idiot", read)[-1]
+    assert not toxicity.patterns("the idiot of the tale is a prince as you may know", read)[-1]
+
+
+def test_patterns_take_time_in_proportion():
+    read = toxicity.Reader({})
+    for unit in ("a ", "!", "*", "a*", "A", "aaa", "you "):
+        assert len(toxicity.patterns(unit * 200_000, read)) == len(toxicity.PATTERNS) + 1
+
+
+def test_families_need_more_than_a_common_passage(spark):
+    rnd = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = [passage + " " + " ".join(f"w{rnd.randrange(10**6)}" for _ in range(160)) for _ in range(60)]
+    got = spark.createDataFrame([(t,) for t in [*texts, texts[0], texts[1]]], "text string").select(toxicity._family("text").alias("f")).collect()
+    assert got[0] == got[-2] and got[1] == got[-1]
+    assert len({r.f for r in got}) >= 50
+
+
 # 8. SimHash
 
 
