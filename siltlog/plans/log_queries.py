@@ -146,6 +146,32 @@ def range_status(spark, sf_dir):
     return scan.range_status(_index(spark, sf_dir), spark.createDataFrame(_RANGES, "request long, bucket string, start string, end string"))
 
 
+@query(
+    "sparse_index",
+    over_log(
+        """SELECT file_id, arg_min(bucket, bucket || chr(1) || key) AS least_bucket, arg_min(key, bucket || chr(1) || key) AS least_key,
+        arg_max(bucket, bucket || chr(1) || key) AS greatest_bucket, arg_max(key, bucket || chr(1) || key) AS greatest_key, count(*) AS entries FROM clog GROUP BY 1"""
+    ),
+)
+def sparse_index(spark, sf_dir):
+    got = scan.sparse_index(load_log(spark, sf_dir))
+    return got.select("file_id", F.col("least.bucket").alias("least_bucket"), F.col("least.key").alias("least_key"), F.col("greatest.bucket").alias("greatest_bucket"), F.col("greatest.key").alias("greatest_key"), "entries")
+
+
+@query(
+    "sparse_get",
+    over_log(
+        """SELECT 'b1' AS bucket, 'u000021' AS key, (SELECT count(*) FROM span WHERE 'b1' || chr(1) || 'u000021' BETWEEN least AND greatest) AS files_in_range,
+        i.file_id, CASE WHEN l.key IS NOT NULL THEN 'found' ELSE 'key not found' END AS outcome, l.value
+        FROM (SELECT 1) LEFT JOIN idx i ON i.bucket = 'b1' AND i.key = 'u000021' LEFT JOIN live l ON l.bucket = 'b1' AND l.key = 'u000021'""",
+        "span AS (SELECT file_id, min(bucket || chr(1) || key) AS least, max(bucket || chr(1) || key) AS greatest FROM clog GROUP BY 1)",
+    ),
+)
+def sparse_get(spark, sf_dir):
+    log = load_log(spark, sf_dir)
+    return scan.sparse_get(log, scan.sparse_index(log), "b1", "u000021")
+
+
 @query("prefix_raw_page", over_log("SELECT key, value FROM (SELECT *, row_number() OVER (ORDER BY key) AS n FROM idx WHERE bucket = 'b2' AND starts_with(key, 'u0000')) WHERE n > 2 AND n <= 12 AND flag <> 0 AND (ttl = 0 OR ts + ttl > 1706745600)"))
 def prefix_raw_page(spark, sf_dir):
     return scan.prefix_page(_index(spark, sf_dir), "b2", "u0000", 2, 10)

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from siltlog.functions.expr import byte_length
 from siltlog.operators import compaction, stats
-from siltlog.sources.log import LOG_SCHEMA, NOW
+from siltlog.sources.log import LOG_SCHEMA, NOW, VALUE
 
 
 class EmptyKey(ValueError):
@@ -119,16 +119,18 @@ class LogTable:
 
     def _append(self, entries: DataFrame, ts: int, flag: int, sets: list[dict], version: int, last: int) -> None:
         file_id = self._next_file(sets)
+        given = lambda name, default: F.col(name) if name in entries.columns else F.lit(default)
         rows = entries.select(
-            F.lit(file_id).cast("long").alias("file_id"), F.col("seq").alias("pos"), "bucket", "key", "value", F.lit(flag).alias("flag"), (F.col("seq") == last).cast("int").alias("status"),
-            F.lit(0).alias("ds"), F.col("ttl").cast("long").alias("ttl"), F.lit(ts).cast("long").alias("ts"), F.lit(file_id).cast("long").alias("tx_id"),
+            F.lit(file_id).cast("long").alias("file_id"), F.col("seq").alias("pos"), "bucket", "key", "value", given("flag", flag).cast("int").alias("flag"), (F.col("seq") == last).cast("int").alias("status"),
+            given("ds", VALUE).cast("int").alias("ds"), F.col("ttl").cast("long").alias("ttl"), given("ts", ts).cast("long").alias("ts"), F.lit(file_id).cast("long").alias("tx_id"),
         )
         self._publish([*sets, self._write(rows)], version)
 
     def put_batch(self, entries: DataFrame, ts: int, flag: int = 1) -> None:
         """(seq, bucket, key, value, ttl) in one transaction: all entries or none; the last one by seq has the marker.
 
-        An empty key or bucket rejects the batch; an empty batch does nothing.
+        Columns ds, flag and ts, if there, stand for the arguments of the same name. An empty key or bucket rejects the
+        batch; an empty batch does nothing.
         """
         version = self._version()
         sets = self._current(version)

@@ -1,4 +1,4 @@
-"""Queries that run a stream to its end over files in the shared folder."""
+"""Queries that run a stream to its end, or commands on a table, over files in the shared folder."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from siltlog.plans.registry import query
 from siltlog.plans.sqltext import over_log
-from siltlog.sources.log import load_log, read_table
+from siltlog.plans.valuetable import ValueTable
+from siltlog.sources.log import NOW, load_log, read_table
 from siltlog.streaming import state
 
 
@@ -42,3 +43,20 @@ def stream_epochs(spark, sf_dir):
     """Waiters that come all at once: every epoch is full, and the last waiters wait for their timer."""
     waiters = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("instance"), F.col("event_id").alias("seq"), F.lit(0).cast("long").alias("at"))
     return state.run_epochs(spark, waiters, folder(spark), 16, 3_600_000)
+
+
+@query(
+    "value_table_collected",
+    """SELECT 'documents' AS bucket, lpad(CAST(doc_id // 3 AS VARCHAR), 9, '0') AS key, strlen(arg_max(coalesce(text, ''), doc_id)) AS size, md5(arg_max(coalesce(text, ''), doc_id)) AS md5 FROM documents GROUP BY ALL
+    UNION ALL SELECT 'pages', lpad(CAST(page_id AS VARCHAR), 9, '0'), strlen(coalesce(url, '')), md5(coalesce(url, '')) FROM pages""",
+)
+def value_table_collected(spark, sf_dir):
+    """What is live after two batches and a garbage collection of the first one's segment, in which three documents share a key."""
+    table = ValueTable(spark, folder(spark), 32)
+    key = lambda number: F.lpad(number.cast("string"), 9, "0")
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.lit("documents").alias("bucket"), key(F.expr("doc_id div 3")).alias("key"), F.coalesce("text", F.lit("")).alias("value"), F.lit(0).alias("ttl"))
+    pages = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), F.lit("pages").alias("bucket"), key(F.col("page_id")).alias("key"), F.coalesce("url", F.lit("")).alias("value"), F.lit(0).alias("ttl"))
+    for batch in (docs, pages):
+        table.put_batch(batch, NOW)
+    table.collect_garbage(0.3, NOW)
+    return table.live(NOW).select("bucket", "key", F.octet_length("value").cast("long").alias("size"), F.md5(F.col("value").cast("binary")).alias("md5"))

@@ -10,7 +10,7 @@ import pytest
 from siltlog.queries import ORACLES, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events documents".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
 
 
 @pytest.fixture(scope="module")
