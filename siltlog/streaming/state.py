@@ -2,68 +2,117 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.window import Window
 
-from siltlog.operators.snapshot import latest
-from siltlog.sources.log import LOG_SCHEMA
+from siltlog.operators.snapshot import ORDER, without_deleted_buckets
+from siltlog.sources.log import BUCKET_DELETE, LOG_SCHEMA, MARKER
 
 
 class IndexStream:
-    """Keeps two tables in a folder: entries whose transaction has no marker yet, and the index of committed ones.
-
-    Each micro-batch joins the new entries with the waiting ones, moves those of committed transactions into the index,
-    where an entry replaces another of its key only if it comes later in the log, and writes both tables under the
-    number of the batch. Replaying a batch after a failure writes the same folder again, so nothing counts twice. A
-    marker that came in an earlier batch is kept with the waiting entries' table, for entries that arrive late. A keeper
-    that is made anew on the folder goes on from the newest batch that is complete; what came before the last but one is removed.
+    """Keeps in a folder the entries whose transaction has no marker yet, the markers seen, and the index of committed ones.
+
+    Each micro-batch joins the new entries with the waiting ones, and what is committed now becomes a run of the index: one
+    entry per key. A run takes in the runs before it while these are at most twice its size, so there are few runs, each
+    more than twice as large as the next, and a small batch doesn't rewrite a large index. Markers are kept in the same way,
+    for entries that arrive late. A batch ends with a file that lists its runs. Replaying a batch after a failure writes the
+    same folders again, so nothing counts twice. A keeper that is made anew on the folder goes on from the newest
+    complete batch; what neither it nor the one before lists is removed. Bucket deletes hide what came before them in the log.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._path, self._fs = path, path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        # the waiting entries are written last
-        self.batch = max((b for b in self._batches("waiting") if self._fs.exists(path(f"{self._at('waiting', b)}/_SUCCESS"))), default=-1)
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.batch = max(self._batches("manifests"), default=-1)  # written last
 
     def _batches(self, kind: str) -> list[int]:
         at = self._path(f"{self.folder}/{kind}")
-        return [int(f.getPath().getName().removeprefix("batch=")) for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        names = [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")]
+
+    @staticmethod
+    def _at(kind: str, batch: int) -> str:
+        return f"{kind}/batch={batch:09d}"
+
+    def _read(self, paths: list[str], schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/{p}" for p in paths)) if paths else self.spark.createDataFrame([], schema)
 
-    def _at(self, kind: str, batch: int) -> str:
-        return f"{self.folder}/{kind}/batch={batch:09d}"
+    def _write(self, rows: DataFrame, path: str) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{path}")
 
-    def _read(self, kind: str, batch: int, schema) -> DataFrame:
+    def _manifest(self, batch: int) -> dict:
+        """Runs as [path, rows], oldest first, and the folder of the waiting entries."""
         if batch < 0:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._at(kind, batch))
+            return {"index": [], "marks": [], "waiting": []}
+        return json.loads(self.spark.read.text(f"{self.folder}/{self._at('manifests', batch)}").first().value)
+
+    def _publish(self, manifest: dict, batch: int) -> None:
+        new, final = self._path(f"{self.folder}/manifests/_new-{batch}"), self._path(f"{self.folder}/{self._at('manifests', batch)}")
+        out = self._fs.create(new, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        self._fs.delete(final, False)  # of a batch that is replayed
+        if not self._fs.rename(new, final):
+            raise OSError(f"can't write {final.toString()}")
+
+    def _add(self, kind: str, runs: list, rows: DataFrame, merged, schema, batch: int) -> list:
+        """The runs after `rows` became one, with the runs that it takes in."""
+        new = self._at(f"new-{kind}", batch)
+        self._write(rows, new)
+        size = self._read([new], schema).count()
+        if not size:
+            return runs
+        runs, taken = list(runs), []
+        while runs and runs[-1][1] <= 2 * size:
+            path, n = runs.pop()
+            taken.append(path)
+            size += n
+        if not taken:
+            return [*runs, [new, size]]
+        path = self._at(kind, batch)
+        self._write(merged(self._read([*taken, new], schema)), path)
+        return [*runs, [path, self._read([path], schema).count()]]
+
+    @staticmethod
+    def _last(rows: DataFrame) -> DataFrame:
+        """The last entry of each key, and the last marker of each bucket."""
+        marker = (F.col("ds") == MARKER) & (F.col("flag") == BUCKET_DELETE)
+        columns = [f.name for f in LOG_SCHEMA]
+        last = Window.partitionBy("bucket", F.when(~marker, F.col("key")), marker).orderBy(*[F.desc(c) for c in ORDER])
+        return rows.withColumn("_rank", F.row_number().over(last)).where("_rank = 1").select(columns)
 
     def apply(self, rows: DataFrame, batch: int) -> None:
-        before = batch - 1
-        columns = [f.name for f in LOG_SCHEMA]
-        waiting = self._read("waiting", before, LOG_SCHEMA).unionByName(rows.select(columns))
-        marks = self._read("marks", before, "tx_id bigint").unionByName(rows.where("status = 1").select("tx_id")).distinct()
-        marks.write.mode("overwrite").parquet(self._at("marks", batch))
-        marks = self._read("marks", batch, "tx_id bigint")
-        done = waiting.join(marks, "tx_id", "left_semi").select(columns)
-        latest(self._read("index", before, LOG_SCHEMA).unionByName(done)).select(columns).write.mode("overwrite").parquet(self._at("index", batch))
-        waiting.join(marks, "tx_id", "left_anti").select(columns).write.mode("overwrite").parquet(self._at("waiting", batch))
+        before = self._manifest(batch - 1)
+        columns, marked = [f.name for f in LOG_SCHEMA], "tx_id bigint"
+        marks = self._add("marks", before["marks"], rows.where("status = 1").select("tx_id").distinct(), DataFrame.distinct, marked, batch)
+        known = self._read([p for p, _ in marks], marked)
+        waiting = self._read(before["waiting"], LOG_SCHEMA).unionByName(rows.select(columns))
+        index = self._add("index", before["index"], self._last(waiting.join(known, "tx_id", "left_semi").select(columns)), self._last, LOG_SCHEMA, batch)
+        self._write(waiting.join(known, "tx_id", "left_anti").select(columns), self._at("waiting", batch))
+        now = {"index": index, "marks": marks, "waiting": [self._at("waiting", batch)]}
+        self._publish(now, batch)
         self.batch = batch
-        for kind in ("marks", "index", "waiting"):  # the batch before stays, in case this one is replayed
+        used = {p for m in (before, now) for p in (*(p for p, _ in m["index"]), *(p for p, _ in m["marks"]), *m["waiting"])}
+        for kind in ("index", "marks", "waiting", "new-index", "new-marks", "manifests"):  # the batch before stays, in case this one is replayed
             for old in self._batches(kind):
-                if old < batch - 1:
-                    self._fs.delete(self._path(self._at(kind, old)), True)
+                if self._at(kind, old) not in used and (kind != "manifests" or old < batch - 1):
+                    self._fs.delete(self._path(f"{self.folder}/{self._at(kind, old)}"), True)
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def index(self) -> DataFrame:
-        return self._read("index", self.batch, LOG_SCHEMA)
+        runs = self._manifest(self.batch)["index"]
+        return without_deleted_buckets(self._last(self._read([p for p, _ in runs], LOG_SCHEMA)))
 
 
 class EpochProcessor(StatefulProcessor):

@@ -270,3 +270,34 @@ def test_index_stream_goes_on_after_a_restart(spark, tmp_path):
     again = IndexStream(spark, f"file://{tmp_path}/state")
     assert {(r.key, r.value) for r in again.index().collect()} == {("a", "3"), ("b", "2"), ("c", "4")}
     assert sorted(again._batches("index")) == [2, 3]
+
+
+def test_small_batches_leave_a_large_run(spark, tmp_path):
+    from siltlog.streaming.state import IndexStream
+
+    keeper = IndexStream(spark, f"file://{tmp_path}/state")
+    keeper.apply(log_of(spark, [put(f"k{n:02d}", "old", 1) for n in range(40)]), 0)
+    large = keeper._manifest(0)["index"][0]
+    for n in range(1, 6):
+        keeper.apply(log_of(spark, [put("k07", f"v{n}", n + 1)]).withColumn("file_id", F.lit(n * 100).cast("long")), n)
+        runs = keeper._manifest(n)["index"]
+        assert runs[0] == large and len(runs) == 2
+    assert {(r.key, r.value) for r in keeper.index().collect()} == {(f"k{n:02d}", "v5" if n == 7 else "old") for n in range(40)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_index_stream_over_random_batches(spark, tmp_path, seed):
+    """Bucket deletes, late markers and late entries; each batch twice, as after a failure."""
+    from siltlog.streaming.state import IndexStream
+
+    rnd = random.Random(seed)
+    rows = random_log(rnd, 5)
+    rnd.shuffle(rows)
+    keeper = IndexStream(spark, f"file://{tmp_path}/state")
+    for n in range(6):
+        part = spark.createDataFrame(rows[n * 5 : n * 5 + 5], LOG_SCHEMA)
+        keeper.apply(part, n)
+        keeper.apply(part, n)
+    want = snapshot.index(spark.createDataFrame(rows, LOG_SCHEMA))
+    columns = [f.name for f in LOG_SCHEMA]
+    assert sorted(map(str, keeper.index().select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
