@@ -9,16 +9,18 @@ returned: as many as rows at most, never all pairs, and the components are the s
 parts are small; distinct fingerprints with b free bits are at most 2**b, so this ends. No candidate is dropped.
 A dense group needs about one comparison per row, as the search drops the rows that it has reached.
 
-The pipeline's stage links texts by their similarity instead (similar_groups): the Jaccard similarity of their sets of
-five-word shingles is SIMILARITY or more. Fingerprints of such texts differ in up to WIDE bits, too many for blocks, so
-candidates share one of BANDS keys, each made of BAND_ROWS minhashes; they are verified by Hamming distance, then exactly.
-A key of more than KEY_ROWS texts is dealt over tasks (hot_links): all its texts are compared with a few pivots, which
-joins the dense ones; then, if at most KEY_ROWS stand outside the largest component, those are compared with all, else the
-key is cut into finer keys, of which each pair at the least similarity shares one as surely as a first key.
+The pipeline's stage links texts whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more
+(similar_groups). Fingerprints of such texts differ in more bits than 64 bits have blocks for, so the stage's have WORDS times
+64 bits, of which the first 64 are the fingerprint above. They are dealt by some of their bits, once for each of tables_for
+tables; a task cuts its rows again by more of their bits and verifies the Hamming distance of rows that agree (close_nodes).
+Components of these links are then verified exactly, each in a task. One of more than KEY_ROWS texts is dealt over tasks
+(hot_links): all its texts are compared with a few pivots, which joins the dense ones; then, if at most KEY_ROWS stand outside
+the largest component, those are compared with all, else it is cut by keys of minhashes, which only deal out this exact check.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -38,14 +40,21 @@ BUCKET_ROWS = 5000
 SEED = 42
 #: The stage: words of a shingle, least similarity of near copies.
 STAGE_WORDS, SIMILARITY = 5, 0.8
-#: Keys per text, minhashes per key: at similarity 0.8 two texts share no key once in 300,000 pairs (1 - 0.8**4) ** 24.
-BANDS, BAND_ROWS = 24, 4
-#: Bits in which fingerprints of texts of that similarity may differ: 12 are the mean where it is greatest (4 and 5
-#: shingles), and more than 28 come once in some million pairs.
-WIDE = 28
-#: Texts of a key whose sets of shingles a task compares with each other; pivots of a hotter key.
+#: Longs of the stage's fingerprints, and the share of bits in which similar texts agree where it is least (4 and 5 shingles).
+WORDS, AGREE = 4, 0.8125
+#: Bits in which fingerprints of similar texts may differ, if the smaller set has less than FEW shingles and else: five deviations
+#: more than the mean, in simulation; in the first 64 bits WIDE.
+FEW, FAR, NEAR, WIDE = 20, 80, 70, 28
+#: Tables: how often a task finds two texts that share its bits, how often no table finds them (both where AGREE holds); rows
+#: that share a table's bits, about; least number of such bits.
+HIT, MISS, TASK_ROWS, TASK_BITS = 0.9, 1e-7, 1 << 20, 4
+#: Rows of a task that agree in its own bits, about; more than MOST are compared by a search that drops what it has reached.
+RUN, MOST = 16, 64
+#: Texts of a component whose sets of shingles a task compares with each other; pivots of a larger one.
 KEY_ROWS, PIVOTS = 500, 4
-#: Finer keys per text, minhashes per finer key: (1 - 0.8**8) ** 69 is (1 - 0.8**4) ** 24.
+#: Keys of minhashes that cut a large component, and rows of each: at similarity 0.8 two texts share no key once in 300,000
+#: pairs (1 - 0.8**4) ** 24. Finer ones: (1 - 0.8**8) ** 69 is (1 - 0.8**4) ** 24.
+BANDS, BAND_ROWS = 24, 4
 FINE_BANDS, FINE_ROWS = 72, 8
 _SET = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -225,6 +234,147 @@ class Minhashes:
         return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], np.uint64).view(np.int64).tolist()
 
 
+def wide_fingerprint(distinct: np.ndarray) -> np.ndarray:
+    """WORDS signed longs: the majority of the shingles' hashes, and of as many mixtures of their bits. An empty set: 0."""
+    ones = np.zeros(WORDS * 64, np.int64)
+    for at in range(0, len(distinct), 4096):
+        hashes = [distinct[at : at + 4096]]
+        for k in range(1, WORDS):
+            mixed = (hashes[0] ^ (hashes[0] >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            hashes.append(mixed ^ (mixed >> np.uint64(32)))
+        ones += np.unpackbits(np.stack(hashes, axis=1).astype(">u8").view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(distinct)).view(">u8").astype(np.int64)
+
+
+def tables_for(rows: int) -> tuple[int, int]:
+    """Bits by which so many rows are dealt, and how many tables of so many bits keep to MISS."""
+    bits = max(TASK_BITS, math.ceil(math.log2(max(1, rows) / TASK_ROWS)))
+    return bits, math.ceil(math.log(MISS) / math.log(1 - HIT * AGREE**bits))
+
+
+def table_parts(bits: int, tables: int) -> list[str]:
+    """Per table an expression over w0, w1, ...: the table's number and, below it, `bits` bits of the fingerprint."""
+    out = []
+    for t in range(tables):
+        word, at = t % WORDS, t // WORDS * bits
+        turn = (at + at // 64) % 64
+        out.append(f"{t << bits}L + ((shiftrightunsigned(w{word}, {turn}) | shiftleft(w{word}, {(64 - turn) % 64})) & {(1 << bits) - 1}L)")
+    return out
+
+
+def are_close(sizes: np.ndarray, words: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes can be similar and their fingerprints are as close as those of similar sets."""
+    few, many = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+    return (few >= similarity * many - 1e-9) & (np.bitwise_count(words[a] ^ words[b]).sum(-1) <= np.where(few < FEW, FAR, NEAR))
+
+
+def close_nodes(sizes: np.ndarray, words: np.ndarray, table: int, similarity: float) -> tuple[list[int], list[int]]:
+    """Links (positions) that connect rows of close fingerprints: at most one less than rows. Rows are compared if they agree
+    in one of the table's keys of about log2(rows / RUN) bits, of which there are enough to find a pair with HIT."""
+    n = len(sizes)
+    of, a, b = np.arange(n), [], []
+
+    def join(xs: np.ndarray, ys: np.ndarray) -> None:
+        """Adds the links that join two of the groups in `of` (each row's group, by a row of it)."""
+        nonlocal of
+        for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+            p, q = x, y
+            while of[p] != p:
+                p = of[p]
+            while of[q] != q:
+                q = of[q]
+            if p != q:
+                of[max(p, q)] = min(p, q)
+                a.append(x)
+                b.append(y)
+        while (of[of] != of).any():
+            of = of[of]
+
+    def search(rows: np.ndarray) -> None:
+        """Compares rows with each other, as far as they aren't joined: those outside a group of over half of them with all,
+        else breadth first, without the rows reached."""
+        groups, times = np.unique(of[rows], return_counts=True)
+        if len(groups) == 1:
+            return
+        main = groups[times.argmax()]
+        if 2 * times.max() > len(rows):
+            for at in rows[of[rows] != main]:
+                other = rows[of[rows] != of[at]]
+                reached = other[are_close(sizes, words, at, other, similarity)]
+                join(np.full(len(reached), at), reached)
+            return
+        left = rows
+        while len(left):
+            frontier, left = [left[0]], left[1:]
+            while frontier and len(left):
+                at = frontier.pop()
+                close = are_close(sizes, words, at, left, similarity)
+                join(np.full(close.sum(), at), left[close])
+                frontier.extend(left[close])
+                left = left[~close]
+
+    bits = max(0, math.ceil(math.log2(max(1, n) / RUN)))
+    rng, low = np.random.default_rng([SEED, table]), bits // 2
+    for _ in range(math.ceil(math.log(1 - HIT) / math.log(1 - AGREE**bits)) if bits else 1):
+        i, j, s, t = (int(x) for x in rng.integers(0, [WORDS, WORDS - 1, 64, 64]))
+        one, two = words[:, i], words[:, (i + 1 + j) % WORDS]
+        one, two = (w >> np.uint64(r) | w << np.uint64(-r % 64) for w, r in ((one, s), (two, t)))
+        key = (one & np.uint64((1 << low) - 1)) << np.uint64(bits - low) | two & np.uint64((1 << bits - low) - 1)
+        both = np.sort(key << np.uint64(32) | np.arange(n, dtype=np.uint64))
+        key, order = both >> np.uint64(32), (both & np.uint64((1 << 32) - 1)).astype(np.int64)
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        lengths = np.diff(np.append(starts, n))
+        if lengths.max() > MOST:
+            for k in np.flatnonzero(lengths > MOST).tolist():
+                search(np.sort(order[starts[k] : starts[k] + lengths[k]]))
+            short = np.repeat(lengths <= MOST, lengths)
+            key, order = key[short], order[short]
+        first = words[order, 0]
+        for step in range(1, MOST):
+            same = key[step:] == key[:-step]
+            if not same.any():
+                break
+            at = np.flatnonzero(same & (np.bitwise_count(first[step:] ^ first[:-step]) <= WIDE))
+            x, y = order[at], order[at + step]
+            apart = of[x] != of[y]
+            x, y = x[apart], y[apart]
+            close = are_close(sizes, words, x, y, similarity)
+            if close.any():
+                join(x[close], y[close])
+    return a, b
+
+
+def wide_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(node, n, w0, w1, ...) of distinct sets of n shingles to links (a, b) of close fingerprints, whose components hold
+    together what similar sets connect."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (part, node, n, w0, ...) with the rows of a part together; a part's rows may go on in the next batch."""
+        part, held = None, []
+
+        def found() -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            a, b = close_nodes(rows[:, 2], np.ascontiguousarray(rows[:, 3:]).view(np.uint64), part >> bits, similarity) if len(rows) > 1 else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(rows[a, 1] if a else [], pa.int64()), pa.array(rows[b, 1] if b else [], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+            for piece in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1):
+                if len(piece) and piece[0, 0] != part:
+                    if held:
+                        yield found()
+                    part, held = int(piece[0, 0]), []
+                held.append(piece)
+        if held:
+            yield found()
+
+    bits, tables = tables_for(nodes.count())
+    parts = F.array(*[F.expr(x) for x in table_parts(bits, tables)])
+    rows = nodes.select(F.explode(parts).alias("part"), "node", "n", *[f"w{k}" for k in range(WORDS)])
+    return rows.repartition("part").sortWithinPartitions("part", "node").mapInArrow(links, "a long, b long")
+
+
 def node_of(distinct: np.ndarray) -> int:
     """One signed long per set of shingles (sorted)."""
     return int(np.uint64(xxhash.xxh64_intdigest(distinct.astype("<u8").tobytes(), SEED)).view(np.int64))
@@ -351,7 +501,7 @@ def hot_links(members: DataFrame, sets: DataFrame, similarity: float, key_rows:
         if many.isEmpty():
             return found
         level += 1
-        fine = Minhashes(FINE_BANDS, FINE_ROWS, level)
+        fine = Minhashes(BANDS, BAND_ROWS, 0) if level == 1 else Minhashes(FINE_BANDS, FINE_ROWS, level)
 
         def finer(batches: Iterator[pa.RecordBatch], fine: Minhashes = fine) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -374,19 +524,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: id, text_hash, root (one for all texts that chains of similar texts connect).
 
     Words are those of near_groups. Texts of equal sets of shingles are one node; null and empty texts have the empty
-    set. Of keys that hold the same nodes one is verified. Very long texts count whole, and a set stands in one task. An
-    empty table gives an empty result; other columns aren't read.
+    set. Very long texts count whole, and a set stands in one task. An empty table gives an empty result; other columns
+    aren't read.
     """
     if similarity < SIMILARITY:
-        raise ValueError("the keys find similarities of 0.8 or more")
-    band_keys = Minhashes(BANDS, BAND_ROWS, 0)
+        raise ValueError("the fingerprints find similarities of 0.8 or more")
+    names = [f"w{k}" for k in range(WORDS)]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingles(t.as_py(), words)) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(map(node_of, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))], names=["id", "text_hash", "node", "keys"]
-            )
+            prints = np.array([wide_fingerprint(x) for x in sets], np.int64).reshape(-1, WORDS)
+            numbers = [pa.array(map(node_of, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), *(pa.array(w, pa.int64()) for w in prints.T)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers], names=["id", "text_hash", "node", "n", *names])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -398,15 +548,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 )
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    rows = written(texts.mapInArrow(sketch, "id long, text_hash long, node long, keys array<long>"), "sketches")
-    nodes = rows.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"))
-    keyed = written(nodes.select("node", "text_hash", F.explode("keys").alias("key")), "band-keys")
-    chosen = written(shared_keys(keyed), "shared-keys")
-    members = written(keyed.join(chosen, "key"), "members")
-    wanted = texts.join(members.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    rows = written(texts.mapInArrow(sketch, "id long, text_hash long, node long, n long, " + ", ".join(f"{w} long" for w in names)), "sketches")
+    # sets of less than four shingles are similar to equal ones only
+    nodes = written(rows.where("n > 3").groupBy("node", "n", *names).agg(F.min("text_hash").alias("text_hash")), "nodes")
+    near = written(components(wide_links(nodes, similarity)).withColumnRenamed("root", "key"), "near")
+    sizes = written(near.groupBy("key").agg(F.count("*").alias("size")), "near-sizes")
+    wanted = texts.join(nodes.join(near, "node", "left_semi").select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
     sets = written(wanted.select("text").mapInArrow(fetch, "node long, fp long, shingles binary"), "shingle-sets")
-    found = key_links(members.where(F.col("n") <= key_rows).select("key", "node"), sets, similarity)
-    hot = members.where(F.col("n") > key_rows).select("key", "node")
+    found = key_links(near.join(sizes.where(F.col("size") <= key_rows), "key", "left_semi").select("key", "node"), sets, similarity)
+    hot = near.join(sizes.where(F.col("size") > key_rows), "key", "left_semi").select("key", "node")
     if not hot.isEmpty():
         found = found.unionByName(hot_links(hot, sets, similarity, key_rows))
     linked = components(found)

@@ -120,3 +120,39 @@ def test_band_keys_find_similar_sets():
             for keys in (band_keys, fine_keys):
                 missed += not set(keys(np.sort(both))) & set(keys(np.sort(more)))
     assert missed == 0 and band_keys(np.empty(0, np.uint64)) == []
+
+
+def test_candidates_come_from_fingerprints(spark, monkeypatch):
+    """Similar texts are found by keys and distances of fingerprints: without minhashes the groups are the same."""
+    monkeypatch.setattr(simhash, "Minhashes", None)
+    texts = edited_texts(seed=8)
+    first = brute_near(texts)
+    groups = {r.id: r.root for r in simhash.similar_groups(docs_of(spark, list(enumerate(texts)))).collect()}
+    for a in range(len(texts)):
+        for b in range(a):
+            assert (groups[a] == groups[b]) == (first[a] == first[b]), (texts[a], texts[b])
+
+
+def test_tables_find_close_fingerprints():
+    """Each pair at the least similarity is linked among strangers, in runs that are cut by keys and in one that isn't."""
+    rng = np.random.default_rng(7)
+    bits, tables = simhash.tables_for(4000)
+    for n in (5, 25, 200):
+        sets = [x for _ in range(100) for both in [rng.integers(0, 1 << 64, n, np.uint64)] for x in (both, both[: n - n // 5])]
+        words = np.concatenate([np.array([simhash.wide_fingerprint(x) for x in sets]).view(np.uint64), rng.integers(0, 1 << 64, (1800, simhash.WORDS), np.uint64)])
+        sizes = np.array([*map(len, sets), *[n] * 1800])
+        for rows in (2000, 200):
+            found = set()
+            for t in range(tables):
+                part = words[:rows, t % simhash.WORDS] >> np.uint64(t // simhash.WORDS * bits) & np.uint64((1 << bits) - 1)
+                for own in range(1 << bits):
+                    at = np.flatnonzero(part == own)
+                    if len(at):
+                        found |= {tuple(sorted(x)) for x in zip(*(at[x].tolist() for x in simhash.close_nodes(sizes[at], words[at], t, 0.8)), strict=True)}
+            assert {(k, k + 1) for k in range(0, 200, 2)} <= found
+
+
+def test_wide_fingerprint_begins_with_the_fingerprint():
+    text = " ".join(f"w{k}" for k in range(5000))
+    assert simhash.wide_fingerprint(np.unique(simhash.shingles(text, 5)))[0] == np.uint64(simhash.fingerprint(text, 5)).view(np.int64)
+    assert simhash.wide_fingerprint(np.empty(0, np.uint64)).tolist() == [0] * simhash.WORDS
