@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import one_row_each, table, without, written
+from .base import filter_bits, one_row_each, passes, table, without, written
 from .components import components
 
 #: Bits of a fingerprint, and into how many blocks it is cut for the first keys.
@@ -520,6 +520,12 @@ def hot_links(members: DataFrame, sets: DataFrame, similarity: float, key_rows:
             return found
 
 
+def those_with(texts: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The rows of texts whose text_hash is in hashes (hash). Only rows that pass a filter of these are moved."""
+    probe = passes(texts.sparkSession, filter_bits(hashes))
+    return texts.where(probe(F.col("text_hash"))).join(hashes, F.col("text_hash") == F.col("hash"), "left_semi")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = STAGE_WORDS, similarity: float = SIMILARITY, key_rows: int = KEY_ROWS) -> DataFrame:
     """One row per input row: id, text_hash, root (one for all texts that chains of similar texts connect).
 
@@ -553,7 +559,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = written(rows.where("n > 3").groupBy("node", "n", *names).agg(F.min("text_hash").alias("text_hash")), "nodes")
     near = written(components(wide_links(nodes, similarity)).withColumnRenamed("root", "key"), "near")
     sizes = written(near.groupBy("key").agg(F.count("*").alias("size")), "near-sizes")
-    wanted = texts.join(nodes.join(near, "node", "left_semi").select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    hashes = written(nodes.join(near, "node", "left_semi").select(F.col("text_hash").alias("hash")).distinct(), "near-hashes")
+    wanted = those_with(texts, hashes).groupBy("text_hash").agg(F.first("text").alias("text"))
     sets = written(wanted.select("text").mapInArrow(fetch, "node long, fp long, shingles binary"), "shingle-sets")
     found = key_links(near.join(sizes.where(F.col("size") <= key_rows), "key", "left_semi").select("key", "node"), sets, similarity)
     hot = near.join(sizes.where(F.col("size") > key_rows), "key", "left_semi").select("key", "node")

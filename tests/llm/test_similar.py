@@ -156,3 +156,14 @@ def test_wide_fingerprint_begins_with_the_fingerprint():
     text = " ".join(f"w{k}" for k in range(5000))
     assert simhash.wide_fingerprint(np.unique(simhash.shingles(text, 5)))[0] == np.uint64(simhash.fingerprint(text, 5)).view(np.int64)
     assert simhash.wide_fingerprint(np.empty(0, np.uint64)).tolist() == [0] * simhash.WORDS
+
+
+def test_only_wanted_texts_move(spark):
+    """The join gets the wanted texts, and few others, from below."""
+    texts = spark.createDataFrame([(k, f"text {k}") for k in range(2000)], "text_hash long, text string")
+    for want in ({k for k in range(0, 2000, 40)}, set()):
+        hashes = spark.createDataFrame([(k,) for k in want], "hash long")
+        out = simhash.those_with(texts, hashes)
+        assert {r.text_hash for r in out.collect()} == want
+        assert "ArrowEvalPython" in out._jdf.queryExecution().optimizedPlan().children().head().toString()
+        assert texts.where(simhash.passes(spark, simhash.filter_bits(hashes))(texts.text_hash)).count() <= len(want) + 20
